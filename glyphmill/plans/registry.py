@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from . import boards, corpus
+
 
 def queries() -> dict[str, Callable]:
-    return {}
+    return {**corpus.QUERIES, **boards.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**corpus.SQL, **boards.SQL}
