@@ -33,7 +33,7 @@ def is_running(text: str, common: set[str], least: int = 9) -> bool:
     dense = len(text) - text.count(" ")
     if not dense or _TABLE.search(text):
         return False
-    cjk = len(_CJK.findall(text))
+    cjk = 0 if text.isascii() else len(_CJK.findall(text))
     if cjk >= 8 and cjk >= 0.5 * dense:
         return True
     words = _WORD.findall(text)
@@ -43,9 +43,12 @@ def is_running(text: str, common: set[str], least: int = 9) -> bool:
     if letters < 0.7 * dense or not 2.8 <= letters / len(words) <= 12:
         return False
     lower = [w.lower() for w in words]
-    known = sum(w in common for w in lower)
-    if known >= max(1, 0.05 * len(words)):
-        return True
+    need = max(1, 0.05 * len(words))
+    for w in lower:
+        if w in common:
+            need -= 1
+            if need <= 0:
+                return True
     long = [w for w in lower if len(w) > 2]
     return len(long) >= 0.5 * len(words) and sum(1 for w in long if 0.2 <= len(_VOWEL.findall(w)) / len(w) <= 0.8) >= 0.9 * len(long)
 
