@@ -53,26 +53,40 @@ def is_running(text: str, common: set[str], least: int = 9) -> bool:
     return len(long) >= 0.5 * len(words) and sum(1 for w in long if 0.2 <= len(_VOWEL.findall(w)) / len(w) <= 0.8) >= 0.9 * len(long)
 
 
+_DIGITS, _UPPER = b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_PLAIN = _DIGITS + _UPPER + _UPPER.lower() + bytes(range(33))
+_OTHER = re.compile(r"[^\x00-\x7f]")
+
+
+def _count_chars(text: str) -> tuple[int, int, int]:
+    """Numbers of symbols, digits and capitals; ASCII is counted in bytes."""
+    plain = text.encode("ascii", "ignore")
+    size = len(plain)
+    rest = [] if size == len(text) else _OTHER.findall(text)
+    symbols = len(plain.translate(None, _PLAIN)) + sum(not c.isalnum() and not c.isspace() for c in rest)
+    return symbols, size - len(plain.translate(None, _DIGITS)) + sum(map(str.isdigit, rest)), size - len(plain.translate(None, _UPPER)) + sum(map(str.isupper, rest))
+
+
 def _measure(id_: str, texts: list[str], page_words: int, common: dict[str, set[str]], every: set[str]) -> tuple:
     full = "\n".join(texts)
-    words = [w.lower() for w in _WORD.findall(full)]
-    n, size = len(words), len(full)
-    hits = {lang: sum(w in s for w in words) for lang, s in common.items()}
+    words = _WORD.findall(full.lower())
+    n, kinds = len(words), Counter(words)
+    hits = {lang: sum(kinds[w] for w in s if w in kinds) for lang, s in common.items()}
     lang = max(sorted(hits), key=hits.get) if hits and max(hits.values()) else "und"
     running, tail = 0, False
     for t in texts:
-        broken = bool(_BROKEN.search(t))
-        if tail and len(t) < 200 or broken and len(t) < 200 or is_running(t, every):
+        broken = t.rstrip()[-1:] in "-‐‑¬­" and bool(_BROKEN.search(t))
+        if (tail or broken) and len(t) < 200 or is_running(t, every):
             running += len(t)
         tail = broken
+    size = sum(map(len, texts))
     dense = max(1, sum(map(len, full.split())))
-    letters = sum(map(len, words))
-    digits = sum(map(str.isdigit, full))
+    symbols, digits, upper = _count_chars(full)
+    letters = sum(len(w) * k for w, k in kinds.items())
     seen = Counter(" ".join(t.lower().split()) for t in texts)
     return (
-        id_, lang, sum(map(len, texts)), float(n), float(len(texts)), letters / n if n else 0.0,
-        sum(1 for c in full if not c.isalnum() and not c.isspace()) / dense, digits / dense, sum(map(str.isupper, full)) / max(1, letters),
-        sum(t.rstrip()[-1:] in ".!?。:;" for t in texts) / len(texts), max(hits.values(), default=0) / n if n else 0.0, running / max(1, sum(map(len, texts))),
+        id_, lang, size, float(n), float(len(texts)), letters / n if n else 0.0, symbols / dense, digits / dense, upper / max(1, letters),
+        sum(t.rstrip()[-1:] in ".!?。:;" for t in texts) / len(texts), max(hits.values(), default=0) / n if n else 0.0, running / max(1, size),
         sum(v for v in seen.values() if v > 1) / len(texts), page_words / n if n else 0.0,
     )
 
