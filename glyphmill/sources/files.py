@@ -6,7 +6,10 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Schemas of the documents' JSON files; a missing key reads as null.
 BODY = "id string, pages array<struct<n:int,words:int,blocks:array<struct<k:string,t:string>>,text:string>>, outline array<struct<t:string,lvl:int,p:int>>, meta struct<pageCount:int,bytes:bigint,words:int,blocks:int,sections:int>"
@@ -83,16 +86,17 @@ def read_board_text(spark: SparkSession, path: str) -> DataFrame:
 
 def run_tool(files: DataFrame, tool: Callable[[bytes], list[dict]], schema: str) -> DataFrame:
     """Rows an external tool (rasteriser, recogniser) makes of each binary file; a file that fails gives one row with ``error`` only. ``tool`` is passed in; none is bundled."""
-    names = [f.strip().split()[0] for f in schema.split(",")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    kinds = to_arrow_schema(StructType.fromDDL(f"path string, {schema}, error string"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for path, content in zip(pdf["path"], pdf["content"]):
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
                 try:
-                    out += [{**r, "path": path} for r in tool(bytes(content))]
+                    out += [{**r, "path": path} for r in tool(content.as_py())]
                 except Exception as e:  # one bad file doesn't end the job
                     out.append({"path": path, "error": str(e)})
-            yield pd.DataFrame(out, columns=["path", *names, "error"])
+            yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
-    return files.select("path", "content").mapInPandas(run, f"path string, {schema}, error string")
+    return files.select("path", "content").mapInArrow(run, f"path string, {schema}, error string")
