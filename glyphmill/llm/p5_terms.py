@@ -45,7 +45,7 @@ def term_pairs(texts: DataFrame, key: str = "id", text: str = "t") -> DataFrame:
             if terms:
                 yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(docs, pa.int64()), pa.array(counts, pa.int64())], schema=schema)
 
-    rows = texts.filter(F.col(key).isNotNull()).select(F.xxhash64(key).alias("doc"), F.array_join(F.col(text), "\n").alias("t"))
+    rows = texts.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(key).alias("doc"), F.array_join(F.col(text), "\n").alias("t"))
     return rows.mapInArrow(run, "term string, doc long, cnt long")
 
 
