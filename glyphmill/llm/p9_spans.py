@@ -15,8 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import materialize
-from ..sources.tables import table
+from ..sources.tables import small_or_plain, table
 from .hashing import Rolling, winnow
+from .p2_near_dups import expand
 
 SPAN = 200
 
@@ -178,8 +179,25 @@ def shared_chars(docs: DataFrame, key: str = "doc_id", text: str = "text", span:
     return out.select(F.col("doc").alias("doc_id"), "n_chars", F.coalesce("shared_chars", F.lit(0).cast("long")).alias("shared_chars"), F.coalesce("longest", F.lit(0)).alias("longest"))
 
 
+def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
+    """(id, class_rep, copies) of the documents of ``span`` characters or more: documents of one whole text share the representative (the least key)."""
+    h = docs.filter(F.col(key).isNotNull() & (F.length(text) >= span)).select(F.col(key).cast("long").alias("id"), F.length(text).alias("n"), F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2")).distinct()
+    g = h.groupBy("n", "h1", "h2").agg(F.min("id").alias("class_rep"), F.count(F.lit(1)).alias("copies"))
+    return h.join(g, ["n", "h1", "h2"]).select("id", "class_rep", "copies")
+
+
+def document_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
+    """Distinct (doc_id_a, doc_id_b) of documents with a common run of ``span`` characters. Whole copies of one text take part once; they are expanded as in
+    problem 2: into all pairs for up to 20 copies, else each copy is paired with its representative, which stands for it in other pairs. Keys are unique bigints."""
+    members = materialize(copies(docs, key, text, span), "copies")
+    others = small_or_plain(members.filter("id <> class_rep").select(F.col("id").alias(key)))
+    windows, _ = shared_windows(docs.join(others, key, "left_anti"), key, text, span)
+    links = span_pairs(windows).toDF("id_x", "id_y")
+    return expand(materialize(links, "links"), members).toDF("doc_id_a", "doc_id_b")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return span_pairs(shared_windows(table(spark, sf_dir, "documents"))[0])
+    return document_pairs(table(spark, sf_dir, "documents"))
 
 
 def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -249,6 +249,10 @@ def test_p9(spark):
                 occ[t[k : k + 200]].add(i)
     exp = {(a, b) for s in occ.values() if len(s) > 1 for a in s for b in s if a < b}
     assert {tuple(x) for x in p9.span_pairs(p9.shared_windows(df)[0]).collect()} == exp and exp
+    assert rows(p9.document_pairs(df)) == sorted(exp, key=repr)
+    many = spark.createDataFrame([(i, shared[2]) for i in range(30)] + [(50, "x" + shared[2])], "doc_id long, text string")
+    assert {tuple(x) for x in p9.document_pairs(many).collect()} == {(0, i) for i in range(1, 30)} | {(0, 50)}
+    assert p9.document_pairs(df.limit(0)).count() == 0
     cover = {}
     for i, t in docs:
         if i is not None:
