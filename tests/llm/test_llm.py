@@ -180,6 +180,9 @@ def test_p6(spark):
     b = next(r for r in lines.collect() if r.doc_id == "b")
     assert p6.faults([1, 1], [0, 1], [x.t for x in b.l], counts)[0] == [(1, "hyphen")]
     assert p6.corpus_counts(lines.limit(0)).sum() == 0
+    cut = ["When the relay is open the bear-", "ing must be cleaned", "The counter must be cleaned"]
+    assert [r[2:] for r in p6._paragraphs("doc_bodies", "d", [1, 1, 2], [0, 1, 0], cut, counts)] == [(1, 0, "When the relay is open the bearing must be cleaned"), (2, 0, cut[2])]
+    assert p6._paragraphs("doc_bodies", "d", [], [], [], counts) == []
 
 
 VOCAB = bpe.vocabulary()
