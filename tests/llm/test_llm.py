@@ -185,6 +185,33 @@ def test_p6(spark):
     assert p6._paragraphs("doc_bodies", "d", [], [], [], counts) == []
 
 
+def _scaled(texts, by):
+    """Counts of a corpus ``by`` times ``texts``."""
+    w, q = Counter(), Counter()
+    for t in texts:
+        x = p6.words_of(t)
+        w.update(x), q.update(zip(x, x[1:]))
+    counts = p6.Counts(_sketch({k: n * by for k, n in w.items()}, {k: n * by for k, n in q.items()}))
+    return counts
+
+
+def _sketch(w, q):
+    slot, n = p6.Counts.slots(Counter(w), Counter(q))
+    total = np.zeros((2 << p6.WORD_BITS) + (1 << p6.PAIR_BITS))
+    np.add.at(total, slot, n)
+    return np.minimum(255, np.round(np.log2(total + 1) * 10)).astype(np.uint8)
+
+
+@pytest.mark.parametrize("by", [1, 100, 300])
+def test_p6_any_size(by):
+    """A misread form grows with the corpus as its word does, and parts of words with them."""
+    good = "when the relay is open the bearing under the counter must be cleaned"
+    counts = _scaled([good] * 100_000 + ["when the relay is open the bcaring under the counter must be cleaned"] * 30 + ["turn bo@rd over"] * 3 + ["qued rast"] * 5, by)
+    lines = ["when the relay is open the bcaring under the counter", "the counter under the bo@rd must be cleaned", "the relay is qued-rast open"]
+    found, fixed = p6.faults([1] * 3, [0, 1, 2], lines, counts)
+    assert found == [(0, "misread"), (1, "misread"), (2, "hyphen")] and "bearing" in fixed[0]
+
+
 VOCAB = bpe.vocabulary()
 
 
