@@ -212,6 +212,12 @@ def test_p6_any_size(by):
     assert found == [(0, "misread"), (1, "misread"), (2, "hyphen")] and "bearing" in fixed[0]
 
 
+def test_p6_fixes_and_joins_in_one_text():
+    counts = _scaled(["when the relay is open the bearing under the counter must be cleaned"] * 1000, 1)
+    found, fixed = p6.faults([1], [0], ["When the re- lay is open the bcaring under the coun-ter must bc cleaned"], counts)
+    assert found == [(0, "hyphen"), (0, "misread")] and fixed[0] == "When the relay is open the bearing under the counter must be cleaned"
+
+
 VOCAB = bpe.vocabulary()
 
 
