@@ -30,6 +30,7 @@ _WORD_BYTE[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
 #: Fixed once: the orders from which a text without a token of its own in some order borrows one, attempt by attempt.
 _BORROW = np.random.default_rng(7).integers(0, ORDERS, (64, ORDERS))
 COPIES = 20  # classes of up to so many copies are expanded into all pairs
+PART = 1000  # copies of a class that meet its links in one place
 
 
 def token_sets(texts: list[str | None], words: int, least: int) -> list[np.ndarray | None]:
@@ -152,6 +153,10 @@ def _verify(pairs: DataFrame, texts: DataFrame, t: float, words: int, least: int
     return both.select("id_x", "id_y", "tx", "ty").mapInArrow(compare, "id_x string, id_y string, similarity double").filter(F.col("similarity") >= t)
 
 
+def _members(sk: DataFrame, classes: DataFrame) -> DataFrame:
+    return sk.select("id", "same").join(classes.select("same", F.col("rep").alias("class_rep"), "copies"), "same").select("id", "class_rep", "copies")
+
+
 def near_duplicates(texts, t: float = 0.8, words: int = 5, least: int = 20) -> tuple[DataFrame, DataFrame]:
     """(links, members) of texts of Jaccard similarity ``t`` or more on their distinct sequences of ``words`` words.
 
@@ -163,7 +168,7 @@ def near_duplicates(texts, t: float = 0.8, words: int = 5, least: int = 20) -> t
     sk = materialize(sketches(source(None), words, least), "sketches")
     collect_garbage(sk.sparkSession)
     classes = materialize(sk.groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
-    members = sk.select("id", "same").join(classes.select("same", F.col("rep").alias("class_rep"), "copies"), "same").select("id", "class_rep", "copies")
+    members = _members(sk, classes)
     k = _keys(classes)
     x, y = k.select("key", F.col("c").alias("x"), F.col("n").alias("nx")), k.select("key", F.col("c").alias("y"), F.col("n").alias("ny"))
     near = x.join(y, "key").filter((F.col("x") < F.col("y")) & (F.least("nx", "ny") >= t * F.greatest("nx", "ny"))).select("x", "y", "nx", "ny").distinct()
@@ -177,12 +182,22 @@ def near_duplicates(texts, t: float = 0.8, words: int = 5, least: int = 20) -> t
     return materialize(_verify(pairs, source(small_or_plain(ids)), t, words, least), "verified"), members
 
 
-def expand(links: DataFrame, members: DataFrame, most: int = COPIES) -> DataFrame:
-    """Pairs (id_a, id_b) of different ids. Classes of up to ``most`` copies are expanded into all their pairs, among themselves and with linked classes; of a larger class every copy is
-    paired with its representative, and its links stand between representatives, so that no pair count is the square of a class."""
+def expand(links: DataFrame, members: DataFrame, most: int = COPIES, every: bool = True) -> DataFrame:
+    """Pairs (id_a, id_b) of different ids. Every copy of a class is paired with every copy of a linked class. Within a class of up to ``most`` copies all pairs
+    are given, in a larger one each copy with its representative, so that no pair count is the square of a class. Without ``every`` the links of a larger class
+    stand for its representative only."""
     multi = members.filter("copies > 1")
-    rows = members.filter(F.col("copies") <= most).select("class_rep", "id").unionByName(members.filter((F.col("copies") > most) & (F.col("id") == F.col("class_rep"))).select("class_rep", "id"))
-    across = links.join(rows.toDF("id_x", "a"), "id_x").join(rows.toDF("id_y", "b"), "id_y").select("a", "b")
+    rows = members if every else members.filter((F.col("copies") <= most) | (F.col("id") == F.col("class_rep")))
+    parts = F.ceil(F.col("copies") / PART).cast("int")
+    rows = rows.select("class_rep", "id", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
+    large = small_or_plain(members.filter((F.col("copies") > PART) & (F.col("id") == F.col("class_rep"))).select("class_rep", parts.alias("parts")))
+
+    def members_of(df: DataFrame, rep: str, name: str) -> DataFrame:
+        """``df`` with each member of the class ``rep``: a large class is cut by a hash of its ids, and its links go to every part."""
+        spread = df.join(large.withColumnRenamed("class_rep", rep), rep, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        return spread.join(rows.toDF(rep, name, "part"), [rep, "part"]).drop(rep, "part")
+
+    across = members_of(members_of(links.select("id_x", "id_y"), "id_x", "a"), "id_y", "b").select("a", "b")
     few = multi.filter(F.col("copies") <= most).select("class_rep", "id")
     within = few.toDF("class_rep", "a").join(few.toDF("class_rep", "b"), "class_rep").filter("a < b").select("a", "b")
     star = multi.filter((F.col("copies") > most) & (F.col("id") != F.col("class_rep"))).select(F.col("class_rep").alias("a"), F.col("id").alias("b"))
@@ -214,5 +229,11 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id", F.coalesce("component", "class_rep").alias("group_id"), "copies", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups}
+def p2_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, class_rep, copies) of the bodies that have text enough: bodies of one token set share the representative. With it the pairs that p2_found leaves out within classes of more than 20 copies are known."""
+    sk = materialize(sketches(body_texts(spark, sf_dir)(None), 3, 20).select("id", "same"), "sketches")
+    return _members(sk, sk.groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+
+
+QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p2_copies": p2_copies}
 SQL: dict[str, str] = {}

@@ -186,23 +186,29 @@ def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int =
     return h.join(g, ["n", "h1", "h2"]).select("id", "class_rep", "copies")
 
 
-def document_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
+def document_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, every: bool = False) -> DataFrame:
     """Distinct (doc_id_a, doc_id_b) of documents with a common run of ``span`` characters. Whole copies of one text take part once; they are expanded as in
-    problem 2: into all pairs for up to 20 copies, else each copy is paired with its representative, which stands for it in other pairs. Keys are unique bigints."""
+    problem 2: into all pairs for up to 20 copies, else each copy is paired with its representative. With ``every``, each copy has the pairs of its text with
+    other texts, whatever the copies; without, the representative of over 20 copies stands for them there. Keys are unique bigints."""
     members = materialize(copies(docs, key, text, span), "copies")
     others = small_or_plain(members.filter("id <> class_rep").select(F.col("id").alias(key)))
     windows, _ = shared_windows(docs.join(others, key, "left_anti"), key, text, span)
     links = span_pairs(windows).toDF("id_x", "id_y")
-    return expand(materialize(links, "links"), members).toDF("doc_id_a", "doc_id_b")
+    return expand(materialize(links, "links"), members, every=every).toDF("doc_id_a", "doc_id_b")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_pairs(table(spark, sf_dir, "documents"))
+    return document_pairs(table(spark, sf_dir, "documents"), every=True)
+
+
+def p9_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, class_rep, copies): with it the pairs that p9_found leaves out within one text of more than 20 copies are known."""
+    return copies(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
 def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_chars(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p9_found": p9_found, "p9_shared": p9_shared}
+QUERIES = {"p9_found": p9_found, "p9_copies": p9_copies, "p9_shared": p9_shared}
 SQL: dict[str, str] = {}

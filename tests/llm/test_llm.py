@@ -83,6 +83,25 @@ def test_p2(spark):
     assert empty[0].count() == 0 and empty[1].count() == 0
 
 
+@pytest.mark.parametrize("part", [1000, 7])
+def test_copies_keep_their_links(spark, monkeypatch, part):
+    """30 copies, 25 of another text and a single one, all linked: every pair across stands, within the large classes those with the representative."""
+    monkeypatch.setattr(p2, "PART", part)
+    kinds = {**{i: 0 for i in range(30)}, **{i: 30 for i in range(30, 55)}, 55: 55}
+    members = spark.createDataFrame([(i, k, {0: 30, 30: 25, 55: 1}[k]) for i, k in kinds.items()], "id long, class_rep long, copies long")
+    links = spark.createDataFrame([(0, 30, 0.7), (0, 55, 0.7), (30, 55, 0.9)], "id_x long, id_y long, similarity double")
+    exp = {(a, b) for a in kinds for b in kinds if a < b and (kinds[a] != kinds[b] or a == kinds[a])}
+    assert rows(p2.expand(links, members)) == sorted(exp, key=repr)
+
+
+def test_p9_copies_keep_their_links(spark, tmp_path):
+    text = words(4, 60)
+    spark.createDataFrame([(i, text) for i in range(30)] + [(50, "x" + text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(x) for x in p9.QUERIES["p9_found"](spark, str(tmp_path)).collect()}
+    assert got == {(0, i) for i in range(1, 30)} | {(i, 50) for i in range(30)}
+    assert rows(p9.QUERIES["p9_copies"](spark, str(tmp_path))) == sorted([(i, 0, 30) for i in range(30)] + [(50, 50, 1)], key=repr)
+
+
 def test_p2_token_sets_match_python():
     texts = ["Über-Teil 12 KK \x00 a-b_c", "", None, "x" * 100_000 + " y z", "a b c d"]
     sets = p2.token_sets(texts, 3, 3)
