@@ -179,6 +179,21 @@ def shared_chars(docs: DataFrame, key: str = "doc_id", text: str = "text", span:
     return out.select(F.col("doc").alias("doc_id"), "n_chars", F.coalesce("shared_chars", F.lit(0).cast("long")).alias("shared_chars"), F.coalesce("longest", F.lit(0)).alias("longest"))
 
 
+def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
+    """(doc_id, start, end, whole): the places [start, end) of each document, in code points, whose every window of ``span`` characters stands in another document too.
+
+    Windows that follow place by place are one span; spans may overlap, and the characters they cover are the ``shared_chars`` of the document. ``whole`` tells
+    that the span is one verbatim run: it stands as a whole as a span of another document. Otherwise its parts are repeated in different documents, or inside a longer span.
+    """
+    windows, area = shared_windows(docs, key, text, span)
+    runs = materialize(_runs(windows).select("doc", F.col("s").alias("start"), (F.col("e") + span).alias("end")), "runs")
+    piece = F.substring("text", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))
+    cut = runs.join(area.select("doc", "text"), "doc").select("doc", "start", "end", F.xxhash64(piece).alias("h1"), F.xxhash64(piece, F.lit(1)).alias("h2"))
+    cut = materialize(cut.withColumn("n", F.col("end") - F.col("start")), "cut")
+    twice = cut.groupBy("n", "h1", "h2").agg((F.min("doc") < F.max("doc")).alias("whole"))
+    return cut.join(twice, ["n", "h1", "h2"]).select(F.col("doc").alias("doc_id"), "start", "end", "whole")
+
+
 def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
     """(id, class_rep, copies) of the documents of ``span`` characters or more: documents of one whole text share the representative (the least key)."""
     h = docs.filter(F.col(key).isNotNull() & (F.length(text) >= span)).select(F.col(key).cast("long").alias("id"), F.length(text).alias("n"), F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2")).distinct()
@@ -210,5 +225,9 @@ def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_chars(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p9_found": p9_found, "p9_copies": p9_copies, "p9_shared": p9_shared}
+def p9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p9_passages": p9_passages, "p9_found": p9_found, "p9_copies": p9_copies, "p9_shared": p9_shared}
 SQL: dict[str, str] = {}

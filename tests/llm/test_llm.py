@@ -102,6 +102,17 @@ def test_p9_copies_keep_their_links(spark, tmp_path):
     assert rows(p9.QUERIES["p9_copies"](spark, str(tmp_path))) == sorted([(i, 0, 30) for i in range(30)] + [(50, 50, 1)], key=repr)
 
 
+def test_p9_passages(spark, tmp_path):
+    r = random.Random(8)
+    text = lambda n: "".join(r.choice("abcd é😀") for _ in range(n))
+    one, two = text(850), text(230)
+    docs = [(1, "a" + one + "b" + two), (2, one), (3, "é" + two + text(40)), (4, one[:300]), (5, None), (6, one[100:400] * 2)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(x) for x in p9.QUERIES["p9_passages"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 1, 851, True), (2, 0, 850, True), (1, 852, 1082, True), (3, 1, 231, True), (4, 0, 300, False), (6, 0, 300, False), (6, 300, 600, False)}
+
+
 def test_p2_token_sets_match_python():
     texts = ["Über-Teil 12 KK \x00 a-b_c", "", None, "x" * 100_000 + " y z", "a b c d"]
     sets = p2.token_sets(texts, 3, 3)
