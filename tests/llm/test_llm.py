@@ -221,18 +221,29 @@ def _scaled(texts, by):
     for t in texts:
         x = p6.words_of(t)
         w.update(x), q.update(zip(x, x[1:]))
-    counts = p6.Counts(_sketch({k: n * by for k, n in w.items()}, {k: n * by for k, n in q.items()}))
+    counts = p6.Counts(_corpus({k: n * by for k, n in w.items()}, {k: n * by for k, n in q.items()}))
     return counts
 
 
-def _sketch(w, q):
-    slot, n = p6.Counts.slots(Counter(w), Counter(q))
-    total = np.zeros((2 << p6.WORD_BITS) + (1 << p6.PAIR_BITS))
-    np.add.at(total, slot, n)
-    return np.minimum(255, np.round(np.log2(total + 1) * 10)).astype(np.uint8)
+def _corpus(w, q):
+    tables = []
+    for pair, n in ((False, w), (True, {"\0".join(k): v for k, v in q.items()})):
+        h, n = p6._distinct(p6._hashes(list(n), 3 if pair else 1), np.array([*n.values()], np.int64))
+        part = h >> np.uint64(64 - p6.PARTS)
+        tables.append({int(k): p6.pack(h[part == k], n[part == k], pair) for k in np.unique(part)})
+    return p6.Corpus(*tables, sum(w.values()))
 
 
-@pytest.mark.parametrize("by", [1, 100, 300])
+def test_p6_counts_of_many_words():
+    """Half a million words and pairs: the counts are those given, and forms that don't occur read as none."""
+    w = {f"w{i}": 1 + i % 7 for i in range(500_000)} | {"the": 10**9}
+    counts = p6.Counts(_corpus(w, {(f"w{i}", f"w{i + 1}"): 1 + i % 7 for i in range(500_000)} | {("of", "the"): 10**8}))
+    assert all(counts.word(k) == w[k] for k in [*list(w)[::50], "the"]) and not any(counts.word(f"x{i}") for i in range(20_000))
+    assert all(counts.pair(f"w{i}", f"w{i + 1}") == pytest.approx(1 + i % 7, rel=0.1) for i in range(0, 500_000, 50)) and counts.pair("of", "the") == pytest.approx(1e8, rel=0.05)
+    assert sum(counts.pair(f"w{i}", "x") > 0 for i in range(20_000)) < 20
+
+
+@pytest.mark.parametrize("by", [1, 100, 3000])
 def test_p6_any_size(by):
     """A misread form grows with the corpus as its word does, and parts of words with them."""
     good = "when the relay is open the bearing under the counter must be cleaned"
