@@ -253,6 +253,13 @@ def test_p6_any_size(by):
     assert found == [(0, "misread"), (1, "misread"), (2, "hyphen")] and "bearing" in fixed[0]
 
 
+def test_p6_long_footer():
+    note = "This notice stands at the foot of every page and is long: " + "keep the cabinet closed and dry while the relay is open, " * 3 + "page"
+    page = [p for p in range(1, 5) for _ in range(2)]
+    found, fixed = p6.faults(page, [0, 1] * 4, [x for p in range(1, 5) for x in (f"{'relay meter counter fan'.split()[p - 1]} text", f"{note} {p}")], _scaled([note] * 1000, 1))
+    assert found == [(k, "header") for k in (1, 3, 5, 7)] and set(fixed) == {0, 2, 4, 6}
+
+
 def test_p6_fixes_and_joins_in_one_text():
     counts = _scaled(["when the relay is open the bearing under the counter must be cleaned"] * 1000, 1)
     found, fixed = p6.faults([1], [0], ["When the re- lay is open the bcaring under the coun-ter must bc cleaned"], counts)
