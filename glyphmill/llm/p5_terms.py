@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import materialize
 from ..sources.tables import block_texts, current_bodies, table
 
 TERM = r"[a-z]{3,}|[a-z]{0,3}[0-9]{2,}[a-z0-9]*"
@@ -50,9 +51,11 @@ def term_pairs(texts: DataFrame, key: str = "id", text: str = "t") -> DataFrame:
 
 
 def posting_pairs(postings: DataFrame) -> DataFrame:
-    """(term, doc, cnt) of an index: tokens trimmed and in lower case, nulls and blanks left out, the greatest count of repeated rows, null as 0."""
+    """(term, doc, cnt) of an index: tokens trimmed and in lower case, nulls and blanks left out, null counts as 0. Rows may repeat. As in ``term_pairs`` each document
+    that holds a term has a pair (ANY, doc, 0): one listed here alone counts as a document too."""
     term = F.trim(F.lower("token"))
-    return postings.select(term.alias("term"), F.xxhash64("doc_id").alias("doc"), F.coalesce(F.col("cnt").cast("long"), F.lit(0).cast("long")).alias("cnt"), "doc_id").filter("term is not null and term <> '' and doc_id is not null").select("term", "doc", "cnt")
+    rows = postings.select(term.alias("term"), F.xxhash64("doc_id").alias("doc"), F.coalesce(F.col("cnt").cast("long"), F.lit(0).cast("long")).alias("cnt"), "doc_id").filter("term is not null and term <> '' and doc_id is not null").select("term", "doc", "cnt")
+    return rows.unionByName(rows.select("doc").distinct().select(F.lit(ANY).alias("term"), "doc", F.lit(0).cast("long").alias("cnt")))
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,16 +107,18 @@ def _merge_borders(runs: DataFrame) -> DataFrame:
 def term_counts(pairs: DataFrame, partitions: int | None = None) -> DataFrame:
     """(term, n, docs) of every term of ``pairs`` (term, doc, cnt); ``partitions`` ranges, else as many as the session shuffles into.
 
-    Rows of one pair may repeat anywhere, but those of one pair fall into one range, since ranges are cut between pairs.
+    Rows of one pair may repeat anywhere, but those of one pair fall into one range, since ranges are cut between pairs. The pairs are
+    written first: the ranges are found by a sample, which would otherwise count the terms of all texts once more.
     """
     keys = ["term", "doc"]
+    pairs = materialize(pairs, "pairs")
     ranged = pairs.repartitionByRange(partitions, *keys) if partitions else pairs.repartitionByRange(*keys)
     return _merge_borders(ranged.sortWithinPartitions(*keys).mapInArrow(_scan, "term string, n long, docs long"))
 
 
 def mark_terms(counts: DataFrame, rare: int = 3, common: float = 0.4) -> DataFrame:
     """Add ``mark``: 'rare' for terms of fewer than ``rare`` documents, 'common' for those of more than the share ``common`` of the
-    documents that hold any term, else null; 'rare' goes before 'common' in tiny collections. The row of ANY is used up."""
+    documents that hold any term, else null; 'rare' goes before 'common' in tiny collections. The row of ANY is used up. ``counts`` is read twice."""
     total = counts.filter(F.col("term") == ANY).select(F.col("docs").alias("_all"))
     mark = F.when(F.col("docs") < rare, "rare").when(F.col("docs") > common * F.col("_all"), "common")
     return counts.filter(F.col("term") != ANY).crossJoin(F.broadcast(total)).select("term", "n", "docs", mark.alias("mark"))
@@ -121,7 +126,7 @@ def mark_terms(counts: DataFrame, rare: int = 3, common: float = 0.4) -> DataFra
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     bodies = term_pairs(current_bodies(spark, sf_dir).select("id", block_texts(blank=True).alias("t")))
-    return mark_terms(term_counts(bodies.unionByName(posting_pairs(table(spark, sf_dir, "postings")))))
+    return mark_terms(materialize(term_counts(bodies.unionByName(posting_pairs(table(spark, sf_dir, "postings")))), "terms"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
