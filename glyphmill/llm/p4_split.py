@@ -40,22 +40,44 @@ def _spans(texts: list[str], marks: list[float], most: int) -> tuple[list[int],
     return ends, bonus, words
 
 
-def _depths(words: list[Counter], width: int) -> list[float]:
-    """Depth of the valley at the gap after each unit but the last: how far the similarity lies below the nearest peaks."""
+def cohesion(words: list[Counter], width: int) -> list[float]:
+    """Cosine similarity of the words of the ``width`` units before and after the gap that follows each unit but the last."""
     sims = []
-    left, right = Counter(), Counter()
+    left, right = {}, {}
+    dot = left_sq = right_sq = 0  # kept up to date word by word, so that a gap costs no more than the words that move over it
+
+    def move(side: dict[str, int], other: dict[str, int], unit: Counter, sign: int) -> tuple[int, int]:
+        """Add (or with -1 take) a unit's words; returns the changes of the side's squares and of the product with the other side."""
+        squares = product = 0
+        for w, n in unit.items():
+            had = side.get(w, 0)
+            now = had + sign * n
+            squares += now * now - had * had
+            product += sign * n * other.get(w, 0)
+            if now:
+                side[w] = now
+            else:
+                del side[w]
+        return squares, product
+
     for w in words[1 : width + 1]:
-        right.update(w)
+        right_sq += move(right, left, w, 1)[0]
     for g in range(len(words) - 1):
-        left.update(words[g])
-        if g >= width:
-            left.subtract(words[g - width])
-        dot = sum(n * right[w] for w, n in left.items() if n)
-        norm = (sum(n * n for n in left.values()) * sum(n * n for n in right.values())) ** 0.5
+        for k, sign in ((g, 1), (g - width, -1)):
+            if k >= 0:
+                squares, product = move(left, right, words[k], sign)
+                left_sq, dot = left_sq + squares, dot + product
+        norm = (left_sq * right_sq) ** 0.5
         sims.append(dot / norm if norm else 0.0)
-        right.subtract(words[g + 1])
-        if g + 1 + width < len(words):
-            right.update(words[g + 1 + width])
+        for k, sign in ((g + 1, -1), (g + 1 + width, 1)):
+            if k < len(words):
+                squares, product = move(right, left, words[k], sign)
+                right_sq, dot = right_sq + squares, dot + product
+    return sims
+
+
+def _depths(sims: list[float]) -> list[float]:
+    """Depth of the valley at each gap: how far the similarity lies below the nearest peaks."""
     peak_l, best = [], 0.0
     for g, s in enumerate(sims):  # the peak on the left: climb while the curve rises
         best = max(s, best) if g and sims[g - 1] >= s else s
@@ -73,7 +95,7 @@ def cut_text(texts: list[str], marks: list[float], limit: int = 6000, overlap: i
     if len(full) <= limit:
         return [(0, len(full), 0)]
     ends, bonus, words = _spans(texts, marks, max(200, limit // 8))
-    depth = [d + b for d, b in zip(_depths(words, width), bonus)]
+    depth = [d + b for d, b in zip(_depths(cohesion(words, width)), bonus)]
     pieces, start, g, back = [], 0, 0, 0
     while True:
         begin = start - back

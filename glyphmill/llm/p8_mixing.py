@@ -25,9 +25,10 @@ def source_name(c="source"):
 
 
 def current_targets(targets: DataFrame) -> DataFrame:
-    """(source, target_share, max_repeats): the row of the latest ``set_at`` of each source; of ties the greatest share, then cap."""
-    t = targets.filter("source is not null and target_share > 0 and max_repeats >= 1").select(source_name().alias("source"), F.struct("set_at", "target_share", "max_repeats").alias("r"))
-    return t.groupBy("source").agg(F.max("r").alias("r")).select("source", "r.target_share", "r.max_repeats")
+    """(source, target_share, max_repeats): the row of the latest ``set_at`` of each source; of ties the greatest share, then cap. A source whose latest row
+    has no share, or no use allowed, has no target, whatever older rows say."""
+    t = targets.filter("source is not null").select(source_name().alias("source"), F.struct("set_at", "target_share", "max_repeats").alias("r"))
+    return t.groupBy("source").agg(F.max("r").alias("r")).select("source", "r.target_share", "r.max_repeats").filter("target_share > 0 and max_repeats >= 1")
 
 
 def poisson_mean(rate: float, cap: int) -> float:

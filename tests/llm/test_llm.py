@@ -148,6 +148,25 @@ def test_p4_cut(texts, limit, overlap):
             assert nxt[0] == b - nxt[2] and nxt[1] > b
 
 
+def test_p4_long_body_costs_its_length():
+    """The words that move over the gaps are counted, not timed: each unit enters and leaves both windows once."""
+    r = random.Random(4)
+    units = [Counter(f"w{r.randrange(20_000)}" for _ in range(15)) for _ in range(5000)]
+    looked = Counter()
+
+    class Unit(Counter):
+        def items(self):
+            looked["n"] += len(self)
+            return super().items()
+
+    brute = []
+    for g in range(len(units) - 1):
+        a, b = sum(units[max(0, g - 3) : g + 1], Counter()), sum(units[g + 1 : g + 5], Counter())
+        brute.append(sum(n * b[w] for w, n in a.items()) / (sum(n * n for n in a.values()) * sum(n * n for n in b.values())) ** 0.5)
+    sims = p4.cohesion([Unit(u) for u in units], 4)
+    assert looked["n"] <= 4 * sum(map(len, units)) and sims == pytest.approx(brute)
+
+
 def test_p4(spark):
     long = "x" * 20_000
     b = spark.createDataFrame([body("fit", ["a" * 2999, "b" * 3000]), body("over", ["a" * 3000, "b" * 3000]), body("wall", [long]), body("topic", *[[f"{w} {w}s about {w} " * 60] for w in ("relay", "screen", "coin", "sound")], outline=[("screen", 1, 2)]), *ODD], BODY)
@@ -176,10 +195,12 @@ def test_p5(spark):
     seen["common"].add("zz")
     counts = p5.term_counts(p5.term_pairs(df).unionByName(p5.posting_pairs(post)), 7)
     got = {x.token: (x.n, x.docs, x.mark) for x in p5.mark_terms(counts).select(F.col("term").alias("token"), "n", "docs", "mark").collect()}
-    total = len(set().union(*seen.values()) - {"zz"})  # a posting alone doesn't make a document one of the corpus
+    total = len(set().union(*seen.values()))  # a document of postings alone holds a term as well
     assert {k: v[:2] for k, v in got.items()} == {w: (exp[w], len(seen[w])) for w in exp}
     assert all(v[2] == ("rare" if v[1] < 3 else "common" if v[1] > 0.4 * total else None) for v in got.values())
     assert p5.term_counts(p5.term_pairs(df.limit(0))).count() == 0
+    alone = p5.mark_terms(p5.term_counts(p5.term_pairs(df.limit(0)).unionByName(p5.posting_pairs(post))))
+    assert rows(alone.select("term", "n", "docs", "mark")) == [("common", 6, 2, "rare")]
 
 
 def test_p6_lines():
@@ -314,6 +335,11 @@ def test_p8(spark):
     assert p8.mix_sources(d.limit(0), t)[0].count() == 0 and p8.mix_sources(d, t.limit(0))[1].count() == 0
 
 
+def test_p8_superseded_targets(spark):
+    t = spark.sql("SELECT * FROM VALUES ('a', 0.9D, 1, timestamp'2020-01-01'), ('a', 0.0D, 1, timestamp'2021-01-01'), ('b', 0.5D, 2, timestamp'2020-01-01'), ('b', 0.6D, 0, timestamp'2021-01-01'), ('c', 1.0D, 2, NULL), (NULL, 1.0D, 2, NULL) t(source, target_share, max_repeats, set_at)")
+    assert rows(p8.current_targets(t)) == [("c", 1.0, 2)]
+
+
 @pytest.mark.parametrize("rate,cap", [(0.2, 1), (0.9, 1), (1.7, 2), (3.0, 4), (0.5, 4)])
 def test_p8_distribution(rate, cap):
     u = (np.arange(200_000) + 0.5) / 200_000
