@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -49,11 +50,18 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def on_one_machine(master: str) -> bool:
+    """Whether a master runs its executors in the driver's own process (local, local[8], local[*, 4]), where a folder of this machine is shared by all."""
+    return re.fullmatch(r"local(\[[^\]]*\])?", master) is not None
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session. Only a session without one (tests on one machine) gets a new temporary folder."""
+    """The folder all executors share: spark.checkpoint.dir of the session. Only a session on one machine may go without; it gets a new temporary folder."""
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not d:
+        if not on_one_machine(sc.master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {sc.master} share")
         d = "file://" + tempfile.mkdtemp(prefix="glyphmill-")
         sc.setCheckpointDir(d)
         d = sc.getCheckpointDir()
@@ -63,17 +71,35 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as a table to the shared folder and read it back: later steps start from files that outlive any executor.
 
-    The files are removed when the driver ends.
+    The files are removed by ``release``, else when the driver ends.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"glyphmill-{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    at, files = _place(spark, path)
+    files.deleteOnExit(at)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: dict[str, list[str]] = {}
+
+
+def _place(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all tables that ``materialize`` has written in this application so far, and say how many: for sessions of many queries, once the results
+    of earlier ones have been read. Frames made from these tables can't be read any more."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at, files = _place(spark, path)
+        files.delete(at, True)
+    return len(paths)
+
+
 def collect_garbage(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished steps now instead of at the driver's next collection."""
     import gc

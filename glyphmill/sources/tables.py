@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from ..session import materialize, ship
 
@@ -21,6 +21,14 @@ def small_or_plain(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def bounded_rows(df: DataFrame, most: int) -> list[Row]:
+    """All rows of a table that is small by its nature (word lists, targets), on the driver. More than ``most`` rows are an error, never cut off."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a table of at most {most} rows was expected; it has more")
+    return rows
+
+
 def current_rows(df: DataFrame, key: str = "id", at: str = "ingested_at") -> DataFrame:
     """The row with the greatest ``at`` of each ``key``, without moving the wide columns.
 
@@ -53,11 +61,6 @@ def current_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return current_rows(table(spark, sf_dir, "doc_bodies"))
 
 
-def ordered_pages(pages: str = "pages") -> Column:
-    """The pages in order of ``n``, ties and nulls (first) in stored order: array of (n, i, blocks)."""
-    return F.array_sort(F.transform(F.col(pages), lambda p, i: F.struct(p["n"].alias("n"), i.alias("i"), p["blocks"].alias("blocks"))))
-
-
 def block_texts(pages: str = "pages", blank: bool = False) -> Column:
     """Texts of all blocks in order of page and block without nulls and, unless ``blank``, without blank ones; never null."""
     texts = F.flatten(F.transform(F.array_sort(F.transform(F.col(pages), lambda p, i: F.struct(p["n"].alias("n"), i.alias("i"), F.transform(F.coalesce(p["blocks"], F.array()), lambda b: b["t"]).alias("t")))), lambda p: p["t"]))
@@ -81,6 +84,3 @@ def first_titles(docs: DataFrame) -> DataFrame:
     o = F.coalesce(F.col("ord"), F.lit(2**62))
     return docs.filter("id is not null").groupBy("id").agg(F.min_by(F.coalesce("title", F.lit("")), F.struct(o, F.coalesce("title", F.lit("")))).alias("title"))
 
-
-def first_titles_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return first_titles(table(spark, sf_dir, "docs"))

@@ -3,19 +3,22 @@ from __future__ import annotations
 import importlib
 import os
 import re
+import sys
 from collections import Counter
+from types import SimpleNamespace
 
 import duckdb
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from glyphmill import session
 from glyphmill.functions import constants as K
 from glyphmill.operators import assoc, board, catalog, circuit, extract, search, structure
 from glyphmill.operators.graph import components
 from glyphmill.plans import registry
 from glyphmill.sources import files
-from glyphmill.sources.tables import current_rows, document_machines
+from glyphmill.sources.tables import bounded_rows, current_rows, document_machines
 from glyphmill.streaming import ingest
 
 DATA = "/root/testdata/sf0.001"
@@ -52,6 +55,43 @@ def test_llm_is_optional():
                 assert not re.search(r"^\s*(from|import)\s.*\bllm\b", open(os.path.join(at, n)).read(), re.M), n
 
 
+def test_llm_that_cannot_be_imported_leaves_the_core(monkeypatch):
+    entry = importlib.import_module("__spark_entry__")
+    real = importlib.import_module
+
+    def fail(name, *args):
+        if ".llm." in name:
+            raise ModuleNotFoundError(name)
+        return real(name, *args)
+
+    monkeypatch.setattr("importlib.import_module", fail)
+    for name in [m for m in sys.modules if m.startswith("glyphmill.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    assert set(entry.queries()) == set(registry.queries()) and set(entry.oracle_sql()) == set(registry.oracle_sql())
+
+
+def test_shared_folder():
+    assert session.on_one_machine("local") and session.on_one_machine("local[*]") and session.on_one_machine("local[8, 3]")
+    assert not any(map(session.on_one_machine, ("spark://host:7077", "yarn", "k8s://host", "local-cluster[3,2,1024]")))
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(getConf=dict, getCheckpointDir=lambda: None, master="yarn"))
+    with pytest.raises(RuntimeError):
+        session.shared_dir(cluster)
+
+
+def test_release(spark):
+    session.release(spark)
+    df = session.materialize(spark.range(5))
+    path = df.inputFiles()[0].removeprefix("file://")
+    assert df.count() == 5 and os.path.exists(path)
+    assert session.release(spark) == 1 and session.release(spark) == 0 and not os.path.exists(path)
+
+
+def test_bounded_rows(spark):
+    assert len(bounded_rows(spark.range(3), 3)) == 3
+    with pytest.raises(ValueError):
+        bounded_rows(spark.range(4), 3)
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.text(alphabet="ab1 2-Z", max_size=40))
 def test_query_terms(q):
