@@ -14,11 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import materialize
-from ..sources.tables import block_texts, current_bodies, table
+from ..sources.tables import block_texts, bounded_rows, current_bodies, table
 
 STATS = ("n_words", "n_lines", "mean_word_len", "symbol_ratio", "digit_ratio", "upper_ratio", "punct_end_share", "common_share", "sentence_share", "repeat_line_share", "page_words_ratio")
 SCHEMA = "id string, lang string, n_chars long, " + ", ".join(f"{s} double" for s in STATS)
 GRID = 100  # steps of the quantile grid
+COMMON_WORDS = 100_000  # a word list of more rows is refused
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _TABLE = re.compile(r"\||\.{4,}|(?:\. ){3,}|(?:[^;\s]*;){3,}[^;]*$|_{4,}|={4,}|(?:\* ){4,}")
@@ -94,11 +95,11 @@ def _measure(id_: str, texts: list[str], page_words: int, common: dict[str, set[
 def quality_stats(bodies: DataFrame, common_words: DataFrame) -> DataFrame:
     """Per body with some non-blank block text: id, lang (by function words, 'und' without any), n_chars and the statistics of ``STATS``.
 
-    ``common_words`` is a word list of fixed size and goes to every task. Null pages, blocks, texts and word counts count as absent;
+    ``common_words`` is a word list of fixed size and goes to every task; one of more than COMMON_WORDS rows is an error. Null pages, blocks, texts and word counts count as absent;
     bodies without text give no row; equal rows give a row each; extra columns are ignored.
     """
     common: dict[str, set[str]] = {}
-    for r in common_words.select("word", "lang").filter("word is not null and lang is not null").distinct().limit(100_000).collect():
+    for r in bounded_rows(common_words.select("word", "lang").filter("word is not null and lang is not null").distinct(), COMMON_WORDS):
         common.setdefault(r.lang, set()).add(r.word.lower())
     every = set().union(*common.values()) if common else set()
     rows = bodies.select("id", block_texts().alias("t"), F.aggregate(F.coalesce(F.transform("pages", lambda p: F.coalesce(p["words"].cast("long"), F.lit(0).cast("long"))), F.array().cast("array<bigint>")), F.lit(0).cast("long"), lambda a, b: a + b).alias("w"))

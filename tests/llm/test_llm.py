@@ -247,31 +247,49 @@ def _scaled(texts, by):
 
 
 def _corpus(w, q):
+    """Corpus counts as the operator sends them: what is below the floor stays behind."""
+    floor = p6.floor_of(sum(w.values()))
     tables = []
     for pair, n in ((False, w), (True, {"\0".join(k): v for k, v in q.items()})):
-        h, n = p6._distinct(p6._hashes(list(n), 3 if pair else 1), np.array([*n.values()], np.int64))
-        part = h >> np.uint64(64 - p6.PARTS)
-        tables.append({int(k): p6.pack(h[part == k], n[part == k], pair) for k in np.unique(part)})
+        n = {k: v for k, v in n.items() if v >= floor}
+        tables.append(p6.pack(p6._hashes(list(n), 3 if pair else 1), np.array([*n.values()], np.int64), pair))
     return p6.Corpus(*tables, sum(w.values()))
 
 
 def test_p6_counts_of_many_words():
     """Half a million words and pairs: the counts are those given, and forms that don't occur read as none."""
-    w = {f"w{i}": 1 + i % 7 for i in range(500_000)} | {"the": 10**9}
-    counts = p6.Counts(_corpus(w, {(f"w{i}", f"w{i + 1}"): 1 + i % 7 for i in range(500_000)} | {("of", "the"): 10**8}))
+    w = {f"w{i}": 1 + i % 7 for i in range(500_000)} | {"the": 10**7}
+    counts = p6.Counts(_corpus(w, {(f"w{i}", f"w{i + 1}"): 1 + i % 7 for i in range(500_000)} | {("of", "the"): 10**6}))
     assert all(counts.word(k) == w[k] for k in [*list(w)[::50], "the"]) and not any(counts.word(f"x{i}") for i in range(20_000))
-    assert all(counts.pair(f"w{i}", f"w{i + 1}") == pytest.approx(1 + i % 7, rel=0.1) for i in range(0, 500_000, 50)) and counts.pair("of", "the") == pytest.approx(1e8, rel=0.05)
+    assert all(counts.pair(f"w{i}", f"w{i + 1}") == pytest.approx(1 + i % 7, rel=0.1) for i in range(0, 500_000, 50)) and counts.pair("of", "the") == pytest.approx(1e6, rel=0.05)
     assert sum(counts.pair(f"w{i}", "x") > 0 for i in range(20_000)) < 20
 
 
-@pytest.mark.parametrize("by", [1, 100, 3000])
+@pytest.mark.parametrize("by", [1, 100, 3000, 1_000_000])
 def test_p6_any_size(by):
     """A misread form grows with the corpus as its word does, and parts of words with them."""
     good = "when the relay is open the bearing under the counter must be cleaned"
     counts = _scaled([good] * 100_000 + ["when the relay is open the bcaring under the counter must be cleaned"] * 30 + ["turn bo@rd over"] * 3 + ["qued rast"] * 5, by)
     lines = ["when the relay is open the bcaring under the counter", "the counter under the bo@rd must be cleaned", "the relay is qued-rast open"]
     found, fixed = p6.faults([1] * 3, [0, 1, 2], lines, counts)
-    assert found == [(0, "misread"), (1, "misread"), (2, "hyphen")] and "bearing" in fixed[0]
+    assert found == [(0, "misread"), (1, "misread"), (2, "hyphen")] and "bearing" in fixed[0] and "the board must" in fixed[1]
+    assert len(counts.words[2]) <= p6.RESOLUTION
+
+
+def test_p6_bounded_by_resolution(monkeypatch):
+    """However many words a corpus has, no more than RESOLUTION are sent: rarer ones stay behind."""
+    monkeypatch.setattr(p6, "RESOLUTION", 1000)
+    c = _corpus({f"w{i}": 1 + i % 50 for i in range(5000)} | {"often": 10**4}, {})
+    assert 0 < len(p6.Counts(c).words[2]) <= 1000 and p6.Counts(c).word("often") == 10**4
+
+
+def test_p6_confusion_rates(spark):
+    """A confusion that happens more often than others is the more probable, within SPREAD of the mean."""
+    words = {"meter": 10_000, "mcter": 150, "motor": 10_000, "mofor": 2, "m0tor": 1, "relay": 10_000, "rclay": 160, "rare": 3, "rarc": 1}
+    df = spark.createDataFrame(list(words.items()), "w string, n long")
+    got = p6.confusion_rates(df, 1.0)
+    assert got["e", "c"] > p6.RATE > got["t", "f"] == pytest.approx(p6.RATE / p6.SPREAD) and max(got.values()) <= p6.RATE * p6.SPREAD
+    assert p6.confusion_rates(df.limit(0), 1.0) == {}
 
 
 def test_p6_long_footer():
