@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import materialize
 from ..sources.tables import small_or_plain, table
-from .hashing import Rolling, winnow
+from .hashing import U, Rolling, mix, winnow
 from .p2_near_dups import expand
+from .p7_tokens import _steps
 
 SPAN = 200
 
@@ -29,47 +30,45 @@ def _symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint32), ends
 
 
-def _chunks(texts: pa.Array, step: int = 1_000_000) -> Iterator[tuple[int, int]]:
-    from .p7_tokens import _steps
-
-    yield from _steps(texts)
-
-
-def _areas(batch: pa.RecordBatch) -> list[np.ndarray]:
-    """For each row the areas (start, end) in which windows are taken."""
-    return [np.asarray(x, np.int64).reshape(-1, 2) for x in batch.column("areas").to_pylist()]
-
-
-def _level(df: DataFrame, length: int, pick: int) -> DataFrame:
-    """(h, doc, pos) of windows of ``length`` characters in the areas of each document, thinned to one in ``pick`` neighbours."""
+def _level(df: DataFrame, length: int, pick: int = 1, before: bool = False) -> DataFrame:
+    """(h, doc, pos) of windows of ``length`` characters in the areas of each document, thinned to one in ``pick`` neighbours. With ``before`` also ``prev``, the hash of the
+    window one place before; at the start of a text it is one of the document's own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, col = batch.column("doc").to_numpy(), batch.column("text")
-            for a, b in _chunks(col):
+            for a, b in _steps(col):
                 sym, ends = _symbols(col.slice(a, b - a).to_pylist())
                 roll = Rolling(sym)
-                h, doc, pos = [], [], []
+                h, doc, pos, prev = [], [], [], []
                 for k, (end, size) in enumerate(zip(ends, np.diff(np.append(0, ends)))):
                     base = end - size
                     for lo, hi in areas_of(batch, a + k, int(size)):
                         if hi - lo < length:
                             continue
-                        at = np.arange(base + lo, base + hi - length + 1)
+                        early = int(before and lo > 0)
+                        at = np.arange(base + lo - early, base + hi - length + 1)
                         w = roll.at(at, at + length)
+                        if before:
+                            own = mix(np.array([docs[a + k]]).astype(np.int64).view(np.uint64) ^ U(0x5851F42D4C957F2D))
+                            prev.append(w[:-1] if early else np.concatenate([own, w[:-1]]))
+                            at, w = at[early:], w[early:]
                         if pick > 1:
                             keep = winnow(w, pick)
                             at, w = at[keep], w[keep]
                         h.append(w), pos.append(at - base), doc.append(np.full(len(w), docs[a + k]))
                 if h:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(doc)), pa.array(np.concatenate(pos).astype(np.int32))], names=["h", "doc", "pos"])
+                    made = [pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(doc)), pa.array(np.concatenate(pos).astype(np.int32))]
+                    if before:
+                        made.append(pa.array(np.concatenate(prev).view(np.int64)))
+                    yield pa.RecordBatch.from_arrays(made, names=["h", "doc", "pos", "prev"][: len(made)])
 
     def areas_of(batch: pa.RecordBatch, k: int, size: int) -> np.ndarray:
         if "areas" not in batch.schema.names:
             return np.array([[0, size]])
         return np.asarray(batch.column("areas")[k].as_py(), np.int64).reshape(-1, 2)
 
-    return df.mapInArrow(run, "h long, doc long, pos int")
+    return df.mapInArrow(run, "h long, doc long, pos int" + ", prev long" * before)
 
 
 def _repeated(windows: DataFrame) -> DataFrame:
@@ -78,8 +77,8 @@ def _repeated(windows: DataFrame) -> DataFrame:
     return windows.join(hot, "h", "left_semi")
 
 
-def _areas_around(hits: DataFrame, reach: int) -> DataFrame:
-    """Per document the merged areas [pos - reach, pos + reach) around its surviving windows, as a flat array of starts and ends."""
+def _areas_around(hits: DataFrame, left: int, right: int) -> DataFrame:
+    """Per document the merged areas [pos - left, pos + right) around its surviving windows, as a flat array of starts and ends."""
     spots = hits.groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("p"))  # places of one document: no more than it has characters
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,8 +86,8 @@ def _areas_around(hits: DataFrame, reach: int) -> DataFrame:
             out = []
             for p in batch.column("p").to_pylist():
                 p = np.asarray(p, np.int64)
-                cut = np.flatnonzero(np.diff(p) > 2 * reach)
-                start, end = p[np.append(0, cut + 1)] - reach, p[np.append(cut, len(p) - 1)] + reach
+                cut = np.flatnonzero(np.diff(p) > left + right)
+                start, end = p[np.append(0, cut + 1)] - left, p[np.append(cut, len(p) - 1)] + right
                 out.append(np.stack([start, end], 1).ravel().tolist())
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(out, pa.list_(pa.int64()))], names=["doc", "areas"])
 
@@ -101,22 +100,29 @@ def _clip(df: DataFrame) -> DataFrame:
     return df.withColumn("areas", F.transform("areas", lambda x: F.greatest(F.lit(0).cast("long"), F.least(x, n))))
 
 
-def shared_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, first: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(windows of ``span`` characters that stand in several documents: h, doc, pos; the documents' texts that hold such: doc, text, areas).
+def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, first: int | None = None) -> DataFrame:
+    """(doc, text, areas): the texts that may share a run of ``span`` characters, and the areas in which such runs must lie, by the levels below ``span``.
 
-    ``first`` is the length of the first level, by default ``span`` / 2. Null keys, null texts and texts shorter than ``span`` hold no window.
-    Runs must lie in different keys; a passage repeated within one text alone doesn't count. Keys are bigint.
+    ``first`` is the length of the first level, by default ``span`` / 2. Null keys, null texts and texts shorter than ``span`` are left out. Keys are bigint.
     """
     first = first or max(1, span // 2)
     src = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).filter(F.col("doc").isNotNull() & (F.length("text") >= span))
     length, area = first, src
     while length < span:
+        # a run of ``span`` characters holds one of the windows picked, so it begins at most span - length before that one
         hits = _repeated(materialize(_level(area, length, span - length + 1), f"level{length}"))
-        around = materialize(_areas_around(hits, span), "areas")
-        area = _clip(src.join(around, "doc"))
+        area = _clip(src.join(_areas_around(hits, span - length, span), "doc"))
         length = min(2 * length, span)
-    area = materialize(area, "candidates")
-    return materialize(_repeated(materialize(_level(area, span, 1), "windows")), "shared"), area
+    return materialize(area, "candidates")
+
+
+def shared_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, first: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(windows of ``span`` characters that stand in several documents: h, doc, pos; the documents' texts that may hold such: doc, text, areas).
+
+    Runs must lie in different keys; a passage repeated within one text alone doesn't count.
+    """
+    area = candidates(docs, key, text, span, first)
+    return materialize(_repeated(materialize(_level(area, span), "windows")), "shared"), area
 
 
 def _runs(windows: DataFrame) -> DataFrame:
@@ -138,18 +144,19 @@ def _runs(windows: DataFrame) -> DataFrame:
     return w.mapInArrow(run, "doc long, s long, e long")
 
 
-def span_pairs(windows: DataFrame) -> DataFrame:
-    """Distinct (doc_id_a, doc_id_b) with a common window.
+def span_pairs(area: DataFrame, span: int = SPAN) -> DataFrame:
+    """Distinct (doc_id_a, doc_id_b) of documents of ``candidates`` with a common run of ``span`` characters.
 
-    Only the first window of each common run makes a pair: of two documents with one window, those whose windows one place
-    before are equal too have met there. Windows whose copies all follow the same window one place before are left out before the join.
+    Only the first window of each common run makes a pair: of two documents with one window, those whose windows one place before are equal too have met
+    there. So windows whose copies all follow the same window are left out before the join, and what meets in it is compared by a second hash of its text.
     """
-    before = windows.select("doc", (F.col("pos") + 1).alias("pos"), F.col("h").alias("prev"))
-    w = windows.join(before, ["doc", "pos"], "left").select("h", "doc", F.coalesce("prev", F.xxhash64("doc", "pos")).alias("prev"))
-    starts = w.groupBy("h").agg(F.min("prev").alias("x"), F.max("prev").alias("y")).filter("x <> y").select("h")
-    w = materialize(w.join(starts, "h", "left_semi").distinct(), "starts")
-    a, b = w.select("h", F.col("doc").alias("doc_id_a"), F.col("prev").alias("pa")), w.select("h", F.col("doc").alias("doc_id_b"), F.col("prev").alias("pb"))
-    return a.join(b, "h").filter("doc_id_a < doc_id_b and pa <> pb").select("doc_id_a", "doc_id_b").distinct()
+    windows = materialize(_level(area, span, before=True), "windows")
+    g = windows.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.min("prev").alias("x"), F.max("prev").alias("y"))
+    starts = windows.join(g.filter("a < b and x <> y").select("h"), "h", "left_semi")
+    piece = F.substring("text", F.col("pos") + 1, F.lit(span))
+    w = materialize(starts.join(area.select("doc", "text"), "doc").select("h", F.xxhash64(piece).alias("h2"), "doc", "prev").distinct(), "starts")
+    a, b = w.select("h", "h2", F.col("doc").alias("doc_id_a"), F.col("prev").alias("pa")), w.select("h", "h2", F.col("doc").alias("doc_id_b"), F.col("prev").alias("pb"))
+    return a.join(b, ["h", "h2"]).filter("doc_id_a < doc_id_b and pa <> pb").select("doc_id_a", "doc_id_b").distinct()
 
 
 def shared_chars(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
@@ -168,7 +175,7 @@ def shared_chars(docs: DataFrame, key: str = "doc_id", text: str = "text", span:
     while True:  # windows of twice the length where windows of this length survived, until none survives
         length *= 2
         ranges = runs.filter(F.col("e") - F.col("s") + span >= length).groupBy("doc").agg(F.flatten(F.sort_array(F.collect_list(F.array("s", (F.col("e") + span))))).alias("areas"))
-        hits = materialize(_repeated(materialize(_level(_clip(area.drop("areas").join(ranges, "doc")), length, 1), "windows")), "shared")
+        hits = materialize(_repeated(materialize(_level(_clip(area.drop("areas").join(ranges, "doc")), length), "windows")), "shared")
         if hits.isEmpty():
             break
         longest = longest.unionByName(hits.select("doc").distinct().select("doc", F.lit(length).alias("level")))
@@ -207,8 +214,7 @@ def document_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
     other texts, whatever the copies; without, the representative of over 20 copies stands for them there. Keys are unique bigints."""
     members = materialize(copies(docs, key, text, span), "copies")
     others = small_or_plain(members.filter("id <> class_rep").select(F.col("id").alias(key)))
-    windows, _ = shared_windows(docs.join(others, key, "left_anti"), key, text, span)
-    links = span_pairs(windows).toDF("id_x", "id_y")
+    links = span_pairs(candidates(docs.join(others, key, "left_anti"), key, text, span), span).toDF("id_x", "id_y")
     return expand(materialize(links, "links"), members, every=every).toDF("doc_id_a", "doc_id_b")
 
 

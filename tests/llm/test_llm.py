@@ -376,7 +376,7 @@ def test_p9(spark):
             for k in range(len(t or "") - 199):
                 occ[t[k : k + 200]].add(i)
     exp = {(a, b) for s in occ.values() if len(s) > 1 for a in s for b in s if a < b}
-    assert {tuple(x) for x in p9.span_pairs(p9.shared_windows(df)[0]).collect()} == exp and exp
+    assert {tuple(x) for x in p9.span_pairs(p9.candidates(df)).collect()} == exp and exp
     assert rows(p9.document_pairs(df)) == sorted(exp, key=repr)
     many = spark.createDataFrame([(i, shared[2]) for i in range(30)] + [(50, "x" + shared[2])], "doc_id long, text string")
     assert {tuple(x) for x in p9.document_pairs(many).collect()} == {(0, i) for i in range(1, 30)} | {(0, 50)}
@@ -387,7 +387,7 @@ def test_p9(spark):
             cover[i] = len({c for k in range(len(t or "") - 199) if len(occ[t[k : k + 200]]) > 1 for c in range(k, k + 200)})
     got = {x.doc_id: x for x in p9.shared_chars(df).collect()}
     assert {i: got[i].shared_chars for i in cover} == cover and got[102].longest == 800 and got[105].longest == 0
-    assert p9.span_pairs(p9.shared_windows(df.limit(0))[0]).count() == 0
+    assert p9.span_pairs(p9.candidates(df.limit(0))).count() == 0
 
 
 @settings(max_examples=50, deadline=None)
