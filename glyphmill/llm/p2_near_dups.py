@@ -29,6 +29,7 @@ _WORD_BYTE = np.zeros(256, bool)
 _WORD_BYTE[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
 #: Fixed once: the orders from which a text without a token of its own in some order borrows one, attempt by attempt.
 _BORROW = np.random.default_rng(7).integers(0, ORDERS, (64, ORDERS))
+HOT, BLOCK = 200, 1000  # classes of one key from which they meet in blocks, and classes of a block
 COPIES = 20  # classes of up to so many copies are expanded into all pairs
 PART = 1000  # copies of a class that meet its links in one place
 
@@ -114,16 +115,55 @@ def _keys(classes: DataFrame) -> DataFrame:
     return classes.select("same", "n", "sig").mapInArrow(run, "key long, c long, n int")
 
 
+def _agree(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, t: float) -> np.ndarray:
+    """Whether two signatures agree under so many of all orders that a similarity of ``t`` isn't ruled out by 4.5 standard deviations."""
+    seen = np.minimum(ORDERS, np.maximum(nx, ny))
+    return (x == y).mean(1) >= t - 4.5 * np.sqrt(t * (1 - t) / seen)
+
+
+def _hot_pairs(rows: DataFrame, t: float) -> DataFrame:
+    """(x, y), x < y, of the classes that share a key of many classes and are likely of similarity ``t``; ``rows`` is (key, m, c, n, sig), ``m`` the classes of the key.
+
+    The classes of a key are cut into blocks of about BLOCK, and each two blocks meet in one place, so no task holds more. There a pair counts only under the first group
+    of orders in which it agrees, so that near copies, which agree in most groups, don't come out once for each.
+    """
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    own = rows.withColumn("own", F.pmod(F.xxhash64("c"), blocks).cast("int"))
+    spread = own.withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1))).select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "c", "n", "sig")
+
+    def meet(group: pa.Table) -> pa.Table:
+        g, i, j = (group.column(k)[0].as_py() for k in ("key", "i", "j"))
+        g >>= 32
+        own, c, n = (group.column(k).to_numpy() for k in ("own", "c", "n"))
+        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(-1, ORDERS)
+        key = np.ascontiguousarray(sig).view(np.uint32).reshape(-1, GROUPS)
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        xs, ys = [], []
+        for a in left:
+            b = right[right > a] if i == j else right
+            b = b[np.minimum(n[a], n[b]) >= t * np.maximum(n[a], n[b])]
+            for earlier in range(g):
+                if not len(b):
+                    break
+                b = b[key[b, earlier] != key[a, earlier]]
+            if len(b):
+                b = b[_agree(sig[b], sig[a][None], n[b], n[a], t)]
+                xs.append(np.minimum(c[a], c[b])), ys.append(np.maximum(c[a], c[b]))
+        none = np.empty(0, np.int64)
+        return pa.table({"x": np.concatenate(xs) if xs else none, "y": np.concatenate(ys) if ys else none})
+
+    return spread.groupBy("key", "i", "j").applyInArrow(meet, "x long, y long")
+
+
 def _likely(pairs: DataFrame, t: float) -> DataFrame:
-    """Pairs whose prefixes agree under so many of all orders that a similarity of ``t`` isn't ruled out by 4.5 standard deviations."""
+    """The pairs (x, y, nx, ny, sx, sy) that are likely of similarity ``t``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 20_000):
                 part = batch.slice(k, 20_000)
                 x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, ORDERS) for c in ("sx", "sy"))
-                seen = np.minimum(ORDERS, np.maximum(part.column("nx").to_numpy(), part.column("ny").to_numpy()))
-                ok = (x == y).mean(1) >= t - 4.5 * np.sqrt(t * (1 - t) / seen)
+                ok = _agree(x, y, part.column("nx").to_numpy(), part.column("ny").to_numpy(), t)
                 yield part.select(["x", "y"]).filter(pa.array(ok))
 
     return pairs.select("x", "y", "sx", "sy", "nx", "ny").mapInArrow(run, "x long, y long")
@@ -169,13 +209,17 @@ def near_duplicates(texts, t: float = 0.8, words: int = 5, least: int = 20) -> t
     collect_garbage(sk.sparkSession)
     classes = materialize(sk.groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     members = _members(sk, classes)
-    k = _keys(classes)
+    every = _keys(classes)
+    hot = materialize(every.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > HOT), "hot")
+    few = small_or_plain(hot)
+    k = every.join(few, "key", "left_anti")
     x, y = k.select("key", F.col("c").alias("x"), F.col("n").alias("nx")), k.select("key", F.col("c").alias("y"), F.col("n").alias("ny"))
     near = x.join(y, "key").filter((F.col("x") < F.col("y")) & (F.least("nx", "ny") >= t * F.greatest("nx", "ny"))).select("x", "y", "nx", "ny").distinct()
     sig = classes.select("same", "sig")
     near = near.join(sig.toDF("x", "sx"), "x").join(sig.toDF("y", "sy"), "y")
     name = classes.select("same", "rep")
-    pairs = _likely(near, t).join(name.toDF("x", "rx"), "x").join(name.toDF("y", "ry"), "y")
+    crowded = every.join(few, "key").join(sig.withColumnRenamed("same", "c"), "c")
+    pairs = _likely(near, t).union(_hot_pairs(crowded, t)).distinct().join(name.toDF("x", "rx"), "x").join(name.toDF("y", "ry"), "y")
     pairs = materialize(pairs.select(F.least("rx", "ry").alias("id_x"), F.greatest("rx", "ry").alias("id_y")), "pairs")
     collect_garbage(sk.sparkSession)
     ids = materialize(pairs.select(F.col("id_x").alias("id")).union(pairs.select("id_y")).distinct(), "ids")

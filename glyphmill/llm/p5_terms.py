@@ -19,6 +19,7 @@ from ..session import materialize
 from ..sources.tables import block_texts, current_bodies, table
 
 TERM = r"[a-z]{3,}|[a-z]{0,3}[0-9]{2,}[a-z0-9]*"
+RANGE_ROWS, MOST_RANGES = 1_000_000, 100_000
 #: Sorts before every term; one pair per document that holds any term, so that its run counts those documents.
 ANY = ""
 
@@ -105,15 +106,17 @@ def _merge_borders(runs: DataFrame) -> DataFrame:
 
 
 def term_counts(pairs: DataFrame, partitions: int | None = None) -> DataFrame:
-    """(term, n, docs) of every term of ``pairs`` (term, doc, cnt); ``partitions`` ranges, else as many as the session shuffles into.
+    """(term, n, docs) of every term of ``pairs`` (term, doc, cnt); ``partitions`` ranges, else one for each RANGE_ROWS pairs, but as many as the session shuffles into at least
+    and MOST_RANGES at most (a larger range is sorted with spilling).
 
     Rows of one pair may repeat anywhere, but those of one pair fall into one range, since ranges are cut between pairs. The pairs are
     written first: the ranges are found by a sample, which would otherwise count the terms of all texts once more.
     """
     keys = ["term", "doc"]
     pairs = materialize(pairs, "pairs")
-    ranged = pairs.repartitionByRange(partitions, *keys) if partitions else pairs.repartitionByRange(*keys)
-    return _merge_borders(ranged.sortWithinPartitions(*keys).mapInArrow(_scan, "term string, n long, docs long"))
+    if not partitions:
+        partitions = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, pairs.count() // RANGE_ROWS))
+    return _merge_borders(pairs.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys).mapInArrow(_scan, "term string, n long, docs long"))
 
 
 def mark_terms(counts: DataFrame, rare: int = 3, common: float = 0.4) -> DataFrame:

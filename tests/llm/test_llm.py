@@ -83,6 +83,29 @@ def test_p2(spark):
     assert empty[0].count() == 0 and empty[1].count() == 0
 
 
+def test_p2_crowded_keys(spark, monkeypatch):
+    """Near copies that share most keys: cut into blocks, each pair comes out once, and the same links are found as without blocks."""
+    r = random.Random(6)
+    base = words(7, 200).split()
+    texts = []
+    for i in range(90):
+        w = base[:]
+        for _ in range(3):
+            w[r.randrange(len(w))] = f"new{r.randrange(10**6)}"
+        texts.append((f"t{i:02}", " ".join(w)))
+    df = spark.createDataFrame(texts + [(f"u{i}", words(100 + i, 60)) for i in range(10)], "id string, text string")
+    exp = {k for k, s in _jaccard(texts, 3).items() if s >= 0.6}
+    came = []
+    real = p2._hot_pairs
+    monkeypatch.setattr(p2, "_hot_pairs", lambda rows, t: came.append(real(rows, t)) or came[-1])
+    for hot, block in ((1000, 1000), (20, 1000), (20, 16)):
+        monkeypatch.setattr(p2, "HOT", hot), monkeypatch.setattr(p2, "BLOCK", block)
+        links, _ = p2.near_duplicates(df, t=0.6, words=3)
+        assert {(x.id_x, x.id_y) for x in links.collect()} == exp and len(exp) > 3000
+        if hot == 20:
+            assert came[-1].count() == came[-1].distinct().count() > 3000
+
+
 @pytest.mark.parametrize("part", [1000, 7])
 def test_copies_keep_their_links(spark, monkeypatch, part):
     """30 copies, 25 of another text and a single one, all linked: every pair across stands, within the large classes those with the representative."""
@@ -134,6 +157,38 @@ def test_p3(spark):
     assert p3.repeated_blocks(bodies, d, min_docs=9).count() == 0
     assert p3.repeated_blocks(bodies, d, min_docs=5, min_share=1.1).count() == 0
     assert p3.repeated_blocks(bodies.limit(0), d).count() == 0
+    assert [(x.machine, x.docs, x.share) for x in p3.line_report(bodies, d).collect()] == [("m", 8, 1.0)] and p3.line_report(bodies.limit(0), d).count() == 0
+
+
+def test_p3_every_misprint_meets_its_line(spark):
+    """Whatever letter or letter pair is misread, in lines of any length, a half of the line stays that meets the line as meant."""
+    base = "abandon bearing counter deliver engines further grounds harness inspect jumpers"
+    rows_ = []
+    for n in range(len(base) - 30):
+        line = base[: 30 + n]
+        flat = line.replace(" ", "")
+        for k in range(len(flat)):
+            rows_ += [(n, flat, flat[:k] + x + flat[k + d :]) for x, d in (("z", 1), ("zz", 1), ("", 1), ("z", 2), ("", 2))]
+    df = spark.createDataFrame(rows_, "g int, meant string, letters string")
+    keys = lambda c: F.array(*p3._halves(c, F.length(c)))
+    n = F.length("letters")
+    other = F.when(F.floor((n - 2) / p3.WIDTH) != F.floor(n / p3.WIDTH), n - 2).when(F.floor((n + 2) / p3.WIDTH) != F.floor(n / p3.WIDTH), n + 2)
+    probes = F.concat(keys("letters"), F.when(other.isNotNull(), F.array(*p3._halves("letters", other))).otherwise(F.array().cast("array<long>")))
+    assert df.filter(~F.arrays_overlap(keys("meant"), probes)).count() == 0
+
+
+def test_p3_stock_opening(spark, monkeypatch):
+    """Lines that share an opening of many letters, but not half of the line, don't meet each other: candidates stay as many as the lines."""
+    r = random.Random(9)
+    opening = "Please observe before servicing"
+    tail = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(9)) for _ in range(9))
+    lines_ = [f"{opening} {tail()}" for _ in range(1500)]
+    b = [body(f"d{i}", [lines_[i // 2]]) for i in range(3000)]
+    made = {}
+    real = p3.materialize
+    monkeypatch.setattr(p3, "materialize", lambda df, name: made.setdefault(name, real(df, name)))
+    got = p3.repeated_blocks(spark.createDataFrame(b, BODY), spark.createDataFrame([(f"d{i}", "m") for i in range(3000)], "id string, machine string"), min_docs=2)
+    assert got.count() == 3000 and made["edges"].count() == 0
 
 
 @settings(max_examples=60, deadline=None)
