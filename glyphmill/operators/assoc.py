@@ -54,3 +54,9 @@ def asof_section(pages: DataFrame, outline: DataFrame, key: str = "doc") -> Data
     b = outline.select(key, "p", F.lit(0).alias("kind"), F.col("ord").cast("double").alias("ord"), "section")
     w = W.partitionBy(key).orderBy("p", "kind", "ord").rowsBetween(W.unboundedPreceding, 0)
     return a.unionByName(b).withColumn("section", F.last("section", ignorenulls=True).over(w)).filter("kind = 1").select(key, F.col("p").alias("page"), "section")
+
+
+def strongest(votes: DataFrame, key: list[str], value: str = "part", sheet: str = "sheet") -> DataFrame:
+    """(*key, value, votes, sheet): of the winners of ``majority`` on each sheet the one with most votes; only more votes beat an earlier sheet."""
+    first = votes.groupBy(*key, "votes").agg(F.min_by(F.struct(value, sheet), sheet).alias("b"))
+    return first.groupBy(*key).agg(F.max_by("b", "votes").alias("b"), F.max("votes").alias("votes")).select(*key, F.col(f"b.{value}").alias(value), "votes", F.col(f"b.{sheet}").alias(sheet))

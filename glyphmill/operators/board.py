@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..functions import constants as K
+
+MOST_REVISIONS = 1000
 
 
 def bom(placements: DataFrame, ref: str = "ref", part: str = "part") -> DataFrame:
@@ -37,8 +41,61 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def revise(devices: DataFrame, revisions: DataFrame, overrides: DataFrame) -> DataFrame:
     """(revision, ref, part): every device (ref, primary, alternate) in every revision (revision, late): the alternate if late and there is one; overrides (revision, ref, part) win.
 
-    Revisions are a handful of rows and are broadcast.
+    Revisions are a handful of rows and are broadcast; more than MOST_REVISIONS are refused.
     """
+    n = revisions.limit(MOST_REVISIONS + 1).count()
+    if n > MOST_REVISIONS:
+        raise ValueError(f"more than {MOST_REVISIONS} revisions")
     rows = devices.crossJoin(F.broadcast(revisions)).select("revision", "ref", F.when(F.col("late"), F.coalesce("alternate", "primary")).otherwise(F.col("primary")).alias("part"))
     both = rows.withColumn("_p", F.lit(0)).unionByName(overrides.select("revision", "ref", "part").withColumn("_p", F.lit(1)))
     return both.groupBy("revision", "ref").agg(F.max_by("part", "_p").alias("part"))
+
+
+def on_grid(ref: Column, rows: str) -> Column:
+    """Whether a designator is one letter of the grid's rows and a number."""
+    return F.coalesce(ref.rlike(r"^\p{L}[0-9]+$") & (F.instr(F.lit(rows), F.substring(ref, 1, 1)) > 0), F.lit(False))
+
+
+def place_revisions(devices: DataFrame, revisions: DataFrame, memory: DataFrame, rows: str) -> tuple[DataFrame, DataFrame]:
+    """(placed: revision, ref, part; report: revision, placed, off_grid): devices (primary, alternate, part) stand at the alternate designator in late revisions, where there is one;
+    those off the grid are counted and left out. Memories (revision, ref, part) on the grid win over devices, others are left out."""
+    at = devices.select("primary", "alternate", "part").crossJoin(F.broadcast(revisions))
+    at = at.select("revision", F.when(F.col("late"), F.coalesce(F.nullif("alternate", F.lit("")), "primary")).otherwise(F.col("primary")).alias("ref"), "part").withColumn("fits", on_grid(F.col("ref"), rows))
+    off = at.groupBy("revision").agg(F.count_if(~F.col("fits")).alias("off_grid"))
+    both = at.filter("fits").select("revision", "ref", "part", F.lit(0).alias("_p")).unionByName(memory.filter(on_grid(F.col("ref"), rows)).select("revision", "ref", "part", F.lit(1).alias("_p")))
+    placed = both.groupBy("revision", "ref").agg(F.max_by("part", F.struct("_p", "part")).alias("part"))
+    return placed, off.join(placed.groupBy("revision").agg(F.count(F.lit(1)).alias("placed")), "revision", "left").select("revision", F.coalesce("placed", F.lit(0)).alias("placed"), "off_grid")
+
+
+def board_report(cells: DataFrame) -> DataFrame:
+    """(board, devices, kinds, most): placed devices (board, ref, part), different parts among them, and the part placed most often, ties by name."""
+    n = cells.groupBy("board", "part").agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy("board").agg(F.sum("n").alias("devices"), F.count(F.lit(1)).alias("kinds"), F.min(F.struct((-F.col("n")).alias("k"), "part")).getField("part").alias("most"))
+
+
+def sort_bom(rows: DataFrame, column: str = "part", ascending: bool = True) -> DataFrame:
+    """A bill of materials in order of part, refs or qty, texts without regard to case; ties by part."""
+    if column not in ("part", "refs", "qty"):
+        raise ValueError(column)
+    c = F.col("qty") if column == "qty" else F.lower(column)
+    return rows.orderBy(c.asc() if ascending else c.desc(), "part")
+
+
+def boards_in_order(boards: DataFrame) -> DataFrame:
+    return boards.orderBy("mfr", "name", "slug")
+
+
+def find_chips(chips: DataFrame, q: str, most: int = K.CHIP_HITS) -> DataFrame:
+    """(device, part, section) of a board's chip index that a repairer means by ``q``: a designator that begins with it, or a part or section that contains it, any case; the first ``most``
+    by designator. An empty query finds nothing."""
+    q = q.strip().lower()
+    within = lambda c: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(q))
+    hit = F.lower("device").startswith(q) | within("part") | within("section")
+    return chips.filter(hit if q else F.lit(False)).select("device", "part", "section").orderBy("device", "part").limit(most)
+
+
+def find_signals(signals: DataFrame, q: str, most: int = K.SIGNAL_HITS) -> DataFrame:
+    """(signal, sheets): signals whose name contains ``q``, any case; the first ``most`` by name, with their sheets."""
+    q = q.strip().lower()
+    s = signals.filter(F.contains(F.lower("signal"), F.lit(q)) if q else F.lit(False)).groupBy("signal").agg(F.array_join(F.array_sort(F.collect_set("sheet")), ",").alias("sheets"))
+    return s.orderBy("signal").limit(most)

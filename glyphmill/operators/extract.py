@@ -88,3 +88,56 @@ def normalise_part(t: Column) -> Column:
     u = F.when(u.rlike(r"^[A-Z]?[0-9]"), F.translate(u, "O", "0")).otherwise(u)
     p = F.regexp_extract(u, r"^(?:74)?(LS?[0-9]{2,3}|[0-9]{4,5}|82S[0-9]{2,3})", 1)
     return F.when(p == "", None).when(p.startswith("LS"), F.concat(F.lit("74"), p)).otherwise(p)
+
+
+def diagnostics_by_kind(rows: DataFrame, most: int = K.SHOWN_PER_KIND) -> DataFrame:
+    """The first ``most`` rows of ``diagnostics`` of each machine and kind, with ``n``, how many there are; ``nth`` counts from 1."""
+    by = W.partitionBy("machine", "kind")
+    return rows.withColumns({"nth": F.row_number().over(by.orderBy("place")), "n": F.count(F.lit(1)).over(by)}).filter(F.col("nth") <= most)
+
+
+def largest_machines(rows: DataFrame, machines: int = K.TOP_MACHINES, kinds: int = K.TOP_KINDS) -> DataFrame:
+    """(machine, total, kind, n, place): of the ``machines`` with most sections the ``kinds`` most frequent kinds, ties by name."""
+    n = rows.groupBy("machine", "kind").agg(F.count(F.lit(1)).alias("n"))
+    top = n.groupBy("machine").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "machine").limit(machines)
+    place = F.row_number().over(W.partitionBy("machine").orderBy(F.desc("n"), "kind"))
+    n = n.join(F.broadcast(top.withColumnRenamed("machine", "_m")), F.col("machine").eqNullSafe(F.col("_m"))).select("machine", "total", "kind", "n")
+    return n.withColumn("place", place).filter(F.col("place") <= kinds)
+
+
+def parts_report(rows: DataFrame, docs: DataFrame, least: int = K.REPORT_MIN_ROWS, top: int = K.REPORT_TOP) -> DataFrame:
+    """(doc, machine, title, rows, pages): the ``top`` documents with most parts rows, of those with ``least`` rows at least. ``docs`` has one row per id."""
+    n = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("page").alias("pages")).filter(F.col("rows") >= least)
+    best = n.orderBy(F.desc("rows"), "doc").limit(top)
+    return best.join(docs.select(F.col("id").alias("doc"), "machine", "title"), "doc", "left").select("doc", "machine", "title", "rows", "pages")
+
+
+def parts_yield(rows: DataFrame, least: int = K.REPORT_MIN_ROWS) -> DataFrame:
+    """(documents, rows): documents with ``least`` parts rows at least, and the rows in them."""
+    n = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    return n.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+
+
+def top_signals(index: DataFrame, most: int = K.TOP_SIGNALS) -> DataFrame:
+    """(machine, signal, n, sheets, place): the most frequent signals of each machine over all its sheets, ties by name."""
+    n = index.groupBy("machine", "signal").agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_set("sheet")), ",").alias("sheets"))
+    return n.withColumn("place", F.row_number().over(W.partitionBy("machine").orderBy(F.desc("n"), "signal"))).filter(F.col("place") <= most)
+
+
+def unrotate(words: DataFrame, height: str = "height") -> DataFrame:
+    """Words read from a page turned by a quarter, at their places on the upright page of that height."""
+    return words.withColumns({"x": F.col("y"), "y": F.col(height) - 1 - F.col("x")})
+
+
+def device_codes(placed: DataFrame) -> DataFrame:
+    """(machine, device, codes, sheets): the signature codes found beside each device on any sheet, each once, in order. ``placed`` is (machine, sheet, code, device), unplaced codes among
+    them are left out."""
+    p = placed.filter(F.col("device") != "(unplaced)")
+    return p.groupBy("machine", "device").agg(F.array_sort(F.collect_set("code")).alias("codes"), F.count_distinct("sheet").alias("sheets"))
+
+
+def mentions(bodies: DataFrame, docs: DataFrame, title: str = r"(?i)signature", text: str = K.SIGNATURE_MENTION, pages: int = K.MENTION_PAGES) -> DataFrame:
+    """(machine, id, title): documents that a pattern is found in, in the title or in the blocks of the first pages as stored. ``docs`` has one row per id; unknown bodies are left out."""
+    first = F.flatten(F.transform(F.slice("pages", 1, pages), lambda p: F.transform(F.coalesce(p["blocks"], F.array().cast("array<struct<k:string,t:string>>")), lambda b: b["t"])))
+    rows = bodies.select("id", F.array_join(F.coalesce(first, F.array().cast("array<string>")), " ").alias("_text")).join(docs.select("id", "machine", "title"), "id")
+    return rows.filter(F.coalesce(F.col("title").rlike(title), F.lit(False)) | F.col("_text").rlike(text)).select("machine", "id", "title")

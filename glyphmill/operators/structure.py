@@ -100,28 +100,41 @@ def join_lines(texts: Column) -> Column:
     return F.trim(F.regexp_replace(F.aggregate(texts, F.lit(""), step), r"\s+", " "))
 
 
-def paragraph_blocks(lines: DataFrame, headings: DataFrame | None = None) -> DataFrame:
-    """(doc, page, block, k, t): lines grouped into blocks in page order.
+def is_table_row(t: str = "t") -> Column:
+    """Two or more wide gaps inside a line."""
+    return F.regexp_count(t, F.lit(r"\s{3,}")) >= 2
 
-    A new block begins after a gap of more than 0.9 of the page's upper median height, at a list item or callout, and around headings (doc, page, raw), which
-    stand alone. Blank and noise lines, page numbers and running headers are left out and don't count for gaps. k is h, note, li or p.
+
+def paragraph_blocks(lines: DataFrame, merged: DataFrame | None = None) -> DataFrame:
+    """(doc, page, block, k, t): lines grouped into blocks in page order. ``lines`` is read several times.
+
+    A new block begins after a gap of more than 0.9 of the page's upper median height, at a list item or callout, at and after every table row, and around headings. A line that is a
+    part of a heading of its page (``merged``, the result of ``merge_headings``) stands for the whole heading, which comes out once per page, at its first line. Blank and noise lines,
+    page numbers and running headers are left out and don't count for gaps. k is h, tr, note, li or p.
     """
     by = W.partitionBy("doc", "page")
-    heads = headings.select("doc", "page", F.col("raw").alias("_t"), F.lit(True).alias("_h")).distinct() if headings is not None else None
     upper = F.element_at(F.array_sort(F.collect_list("h")), (F.floor(F.count(F.lit(1)) / 2) + 1).cast("int"))
     med = lines.groupBy("doc", "page").agg(upper.alias("med"))
     t = lines.withColumn("_t", F.trim("t")).filter(~F.col("_t").rlike(K.NOISE) & ~F.col("_t").rlike(K.PAGE_NO)).withColumn("key", furniture_key("_t"))
     t = t.join(running_headers(lines).select("doc", "key"), ["doc", "key"], "left_anti").join(med, ["doc", "page"])
-    t = t.join(heads, ["doc", "page", "_t"], "left") if heads is not None else t.withColumn("_h", F.lit(None).cast("boolean"))
+    if merged is not None:
+        parts = merged.select("doc", "page", F.posexplode("heads").alias("pos", "m")).select("doc", "page", "pos", F.col("m.t").alias("full"), F.explode("m.parts").alias("_t"))
+        t = t.join(parts.groupBy("doc", "page", "_t").agg(F.max_by("full", "pos").alias("_h")), ["doc", "page", "_t"], "left")
+    else:
+        t = t.withColumn("_h", F.lit(None).cast("string"))
     w = by.orderBy("ord")
-    h = F.coalesce("_h", F.lit(False))
+    h, row = F.col("_h").isNotNull(), is_table_row()
     gap = F.col("y") - (F.lag("y").over(w) + F.lag("h").over(w))
-    starts = F.lag("ord").over(w).isNull() | (gap > 0.9 * F.col("med")) | F.col("_t").rlike(K.BULLET) | F.col("_t").rlike(K.CALLOUT) | h | F.lag(h).over(w)
-    rows = t.withColumn("_s", starts.cast("int")).withColumn("block", F.sum("_s").over(w))
-    g = rows.groupBy("doc", "page", "block").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("_t").alias("t")))).alias("a"), F.max(h).alias("h"))
-    text = join_lines(F.transform("a", lambda x: x["t"]))
-    k = F.when(F.col("h"), "h").when(F.col("text").rlike(K.CALLOUT), "note").when(F.element_at("a", 1)["t"].rlike(K.BULLET), "li").otherwise("p")
-    return g.withColumn("text", text).filter("text <> ''").select("doc", "page", "block", k.alias("k"), F.col("text").alias("t"))
+    starts = F.lag("ord").over(w).isNull() | (gap > 0.9 * F.col("med")) | F.col("_t").rlike(K.BULLET) | F.col("_t").rlike(K.CALLOUT) | h | F.lag(h).over(w) | row | F.lag(row).over(w)
+    rows = t.withColumn("_s", starts.cast("int")).withColumn("block", F.sum("_s").over(w)).withColumn("_row", row)
+    g = rows.groupBy("doc", "page", "block").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("_t").alias("t")))).alias("a"), F.max("_h").alias("h"), F.max("_row").alias("tr"))
+    text = F.coalesce("h", join_lines(F.transform("a", lambda x: x["t"])))
+    k = F.when(F.col("h").isNotNull(), "h").when(F.col("tr"), "tr").when(F.col("text").rlike(K.CALLOUT), "note").when(F.element_at("a", 1)["t"].rlike(K.BULLET), "li").otherwise("p")
+    out = g.withColumn("text", text).filter("text <> ''").select("doc", "page", "block", k.alias("k"), F.col("text").alias("t"))
+    if merged is None:
+        return out
+    first = F.row_number().over(W.partitionBy("doc", "page", "k", "t").orderBy("block"))
+    return out.withColumn("_r", first).filter("k <> 'h' or _r = 1").drop("_r")
 
 
 def page_texts(bodies: DataFrame) -> DataFrame:
@@ -138,3 +151,60 @@ def find_in_document(pages: DataFrame, q: str) -> DataFrame:
 
 def pretty_title(t: str = "title") -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"(?i)\.pdf$", ""), "_", " "), r"\s+", " "))
+
+
+def strip_bullet(t: Column) -> Column:
+    return F.regexp_replace(t, K.BULLET_MARK, "")
+
+
+def block_runs(bodies: DataFrame) -> DataFrame:
+    """(doc, page, run, k, items): the blocks of each page as they are shown: list items, and table rows, that follow each other are one run, any other block stands alone. Items have no
+    bullets. Null kinds count as paragraphs, null texts are left out. Nothing moves between tasks: a page is an array."""
+    kind = "array<struct<k:string,items:array<string>>>"
+    blocks = F.filter(F.coalesce("p.blocks", F.array().cast("array<struct<k:string,t:string>>")), lambda b: b["t"].isNotNull())
+
+    def step(acc: Column, b: Column) -> Column:
+        k = F.when(b["k"].isin("h", "note", "li", "tr"), b["k"]).otherwise(F.lit("p"))
+        item = F.array(F.when(k == "li", strip_bullet(b["t"])).otherwise(b["t"]))
+        last = F.element_at(acc, -1)
+        joins = (F.size(acc) > 0) & k.isin("li", "tr") & (last["k"] == k)
+        longer = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(k.alias("k"), F.concat(last["items"], item).alias("items"))))
+        return F.when(joins, longer).otherwise(F.concat(acc, F.array(F.struct(k.alias("k"), item.alias("items"))))).cast(kind)
+
+    p = bodies.select(F.col("id").alias("doc"), F.explode("pages").alias("p")).select("doc", F.col("p.n").alias("page"), F.posexplode(F.aggregate(blocks, F.array().cast(kind), step)).alias("run", "r"))
+    return p.select("doc", "page", "run", F.col("r.k").alias("k"), F.col("r.items").alias("items"))
+
+
+def highlight(t: Column, q: str) -> Column:
+    """A text as HTML with every occurrence of ``q``, any case, marked; queries under two characters mark nothing."""
+    import re
+
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        t = F.replace(t, F.lit(mark), F.lit(name))
+    return F.regexp_replace(t, f"(?i)({re.escape(q)})", "<mark>$1</mark>") if len(q) >= 2 else t
+
+
+def contents(bodies: DataFrame, least: int = K.OUTLINE_PAGES) -> DataFrame:
+    """(doc, place, label, page, lvl): what a reader is led by: the outline of documents of ``least`` pages or more that have one, else the list of pages."""
+    entry = "array<struct<label:string,page:int,lvl:int>>"
+    heads = F.transform("outline", lambda o: F.struct(o["t"].alias("label"), o["p"].alias("page"), o["lvl"].alias("lvl"))).cast(entry)
+    pages = F.transform("pages", lambda p: F.struct(F.concat(F.lit("Page "), p["n"].cast("string")).alias("label"), p["n"].alias("page"), F.lit(1).alias("lvl"))).cast(entry)
+    shown = F.when((F.size("pages") >= least) & (F.size("outline") > 0), heads).otherwise(pages)
+    return bodies.select(F.col("id").alias("doc"), F.posexplode(shown).alias("place", "e")).select("doc", "place", "e.label", "e.page", "e.lvl")
+
+
+def word_counts(pages: DataFrame, text: str = "text") -> DataFrame:
+    """Pages with ``words``, the number of parts between white space. A page without text (its recognition ran out of time) has an empty text and none."""
+    t = F.coalesce(text, F.lit(""))
+    return pages.withColumns({text: t, "words": F.size(F.filter(F.split(t, r"\s+"), lambda x: x != "")).cast("int")})
+
+
+def needs_structure(bodies: DataFrame, force: bool = False) -> DataFrame:
+    """Bodies to read again: those without outline, or with a page without blocks; all with ``force``. Empty outlines and blocks are results, null ones are not."""
+    return bodies if force else bodies.filter(F.col("outline").isNull() | F.exists("pages", lambda p: p["blocks"].isNull()))
+
+
+def body_meta(bodies: DataFrame) -> DataFrame:
+    """(id, page_count, words, blocks, sections) counted from each body; null lists and counts are 0."""
+    total = lambda f: F.aggregate(F.transform(F.coalesce("pages", F.array().cast(bodies.schema["pages"].dataType)), f), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x.cast("long"), F.lit(0).cast("long")))
+    return bodies.select("id", F.greatest(F.size("pages"), F.lit(0)).alias("page_count"), total(lambda p: p["words"]).alias("words"), total(lambda p: F.greatest(F.size(p["blocks"]), F.lit(0))).alias("blocks"), F.greatest(F.size("outline"), F.lit(0)).alias("sections"))

@@ -90,16 +90,8 @@ _PARTS = [x[0] for x in K.DEVICES] + ["74LS999"]
 _DEV = "dev(part, pins, vcc, gnd, description) AS (VALUES " + ", ".join(f"('{a}', {b}, {c}, {e}, '{f}')" for a, b, c, e, f, _ in K.DEVICES) + ")"
 
 
-def _gate_values() -> str:
-    out = []
-    for part, _, _, _, _, text in K.DEVICES:
-        for g, gate in enumerate(text.split(";"), 1):
-            ins, ctrl, outs = gate.strip().split("/")
-            out += [f"('{part}', {g}, {p}, '{role}')" for role, ps in (("in", ins), ("ctrl", ctrl), ("out", outs)) for p in ps.split()]
-    return "gt(part, gate, pin, role) AS (VALUES " + ", ".join(out) + ")"
-
-
-_GATES = _gate_values()
+_PINS = [(d[0], g, pin, role) for d in K.DEVICES for g, gate in enumerate(d[5], 1) for role, pins in zip(("in", "ctrl", "out"), gate) for pin in pins]
+_GATES = "gt(part, gate, pin, role) AS (VALUES " + ", ".join(f"('{a}', {b}, {c}, '{e}')" for a, b, c, e in _PINS) + ")"
 _LIST = "[" + ", ".join(f"'{p}'" for p in _PARTS) + "]"
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import constants as K
 from ..operators import catalog, extract, search, structure
+from ..session import materialize
 from ..sources.tables import current_bodies, table
 from ..streaming import ingest
 
@@ -50,6 +51,11 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "ocr_lines").filter("t is not null").select(F.col("doc_id").alias("doc"), "page", "ord", "t", F.col("x0").alias("x"), F.col("y0").alias("y"), "h", "c").distinct()
 
 
+def read_lines(spark: SparkSession, d: str) -> DataFrame:
+    """``lines`` as a table, for operators that read them several times."""
+    return materialize(lines(spark, d), "lines")
+
+
 _TF = f"tf AS (SELECT token, doc_id AS doc, count(*) AS cnt FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{K.TOKEN}')) AS token FROM documents) GROUP BY ALL)"
 _KEPT = f"{_TF}, n AS (SELECT count(*) AS n FROM documents), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token), kept AS (SELECT tf.* FROM tf JOIN df USING (token), n WHERE NOT (df > {K.MAX_DF_RATIO} * n.n AND df > {K.MIN_DF_PRUNED}))"
 _POST = f"{_KEPT}, post AS (SELECT CASE WHEN regexp_matches(token, '^[a-z0-9]') THEN token[1] ELSE '_' END AS shard, token, doc, cnt FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY cnt DESC, doc) AS r FROM kept) WHERE r <= {K.MAX_POSTINGS})"
@@ -88,7 +94,7 @@ def corpus_stats(spark, d):
 
 @query("""WITH s AS (SELECT slug, full_name, mfr, lower(coalesce(full_name, '')) AS n, lower(coalesce(mfr, '')) AS m FROM machines),
 r AS (SELECT slug, full_name, mfr, CAST(CASE WHEN n = 'storm' THEN 1000 WHEN starts_with(n, 'storm') THEN 500 - length(n) WHEN instr(n, 'storm') > 0 THEN 200 - (instr(n, 'storm') - 1) WHEN instr(m, 'storm') > 0 THEN 50 ELSE -1 END AS INTEGER) AS score FROM s)
-SELECT * FROM r WHERE score >= 0 ORDER BY score DESC, slug LIMIT 50""")
+SELECT *, count(*) OVER () AS total FROM r WHERE score >= 0 ORDER BY score DESC, slug LIMIT 50""")
 def entity_search_ranked(spark, d):
     return catalog.search_machines(table(spark, d, "machines").select("slug", "full_name", "mfr"), "storm")
 
@@ -115,7 +121,10 @@ def slug_dedup(spark, d):
     return catalog.number_slugs(table(spark, d, "part").select(F.col("p_partkey").alias("ord"), catalog.slug_ascii("p_name").alias("base")))
 
 
-@query()
+_SLUG = r"coalesce(nullif(regexp_replace(regexp_replace(lower(trim(regexp_replace(strip_accents({0}), '[^A-Za-z0-9_\s-]', '', 'g'))), '[\s_-]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'unknown')"
+
+
+@query("SELECT slug, " + _SLUG.format("coalesce(full_name, '')") + " AS made FROM machines")
 def slug_unicode(spark, d):
     return table(spark, d, "machines").select("slug", catalog.slugify("full_name").alias("made"))
 
@@ -177,7 +186,7 @@ k AS (SELECT DISTINCT doc, page, key FROM e WHERE (a <= 3 OR b <= 3) AND length(
 
 @query(f"WITH {_HEADERS} SELECT * FROM hd")
 def running_headers(spark, d):
-    return structure.running_headers(lines(spark, d))
+    return structure.running_headers(read_lines(spark, d))
 
 
 @query(f"WITH {ORD_LINES} SELECT doc, median(h) AS body FROM o WHERE h BETWEEN 8 AND 200 GROUP BY doc")
@@ -198,17 +207,30 @@ hc AS (SELECT doc, page, ord, t, raw, CAST(CASE WHEN h >= 1.7 * body THEN 1 WHEN
 
 @query(f"WITH {_HEADS} SELECT * FROM hc WHERE lvl IS NOT NULL")
 def heading_candidates(spark, d):
-    return structure.heading_candidates(lines(spark, d))
+    return structure.heading_candidates(read_lines(spark, d))
 
 
-@query()
+_MERGED = rf"""{_HEADS}, cand AS (SELECT doc, page, t, lvl, x, y, h, row_number() OVER (PARTITION BY doc, page ORDER BY ord, t, lvl, x, y, h) AS rn FROM hc WHERE lvl IS NOT NULL),
+fold(doc, page, rn, grp, t, lvl, x, y, h, part) AS (SELECT doc, page, rn, 1, t, lvl, x, y, h, t FROM cand WHERE rn = 1
+ UNION ALL SELECT c.doc, c.page, c.rn, CASE WHEN c.joins THEN f.grp ELSE f.grp + 1 END, CASE WHEN c.joins THEN trim(f.t || ' ' || c.t) ELSE c.t END, c.lvl, CASE WHEN c.joins THEN f.x ELSE c.x END, c.y, c.h, c.t
+ FROM fold f, LATERAL (SELECT *, c.lvl = f.lvl AND abs(f.h - c.h) <= greatest(f.h, c.h) * 0.28 AND abs(f.x - c.x) <= greatest(f.h, c.h) * 2.5 AND c.y - (f.y + f.h) BETWEEN -2 AND f.h * 1.1 AND (regexp_matches(c.t, '^\p{{Ll}}') OR NOT regexp_matches(c.t, '{K.SECTION_NO}')) AS joins FROM cand c WHERE c.doc = f.doc AND c.page = f.page AND c.rn = f.rn + 1) c),
+mh AS (SELECT doc, page, CAST(grp - 1 AS INTEGER) AS pos, arg_max(t, rn) AS t, any_value(lvl) AS lvl, string_agg(part, '|' ORDER BY rn) AS parts FROM fold WHERE grp <= 6 GROUP BY doc, page, grp)"""
+
+
+def _merged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    l = read_lines(spark, d)
+    return l, materialize(structure.merge_headings(structure.heading_candidates(l)), "headings")
+
+
+@query(f"WITH RECURSIVE {_MERGED} SELECT * FROM mh")
 def heading_merge(spark, d):
-    return structure.merge_headings(structure.heading_candidates(lines(spark, d)))
+    rows = _merged(spark, d)[1].select("doc", "page", F.posexplode("heads").alias("pos", "m"))
+    return rows.select("doc", "page", "pos", "m.t", "m.lvl", F.array_join("m.parts", "|").alias("parts"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_MERGED}, oq AS (SELECT doc, page AS p, pos, t, lvl, regexp_replace(lower(t), '[^a-z0-9]+', '', 'g') AS key FROM mh) SELECT doc, p, pos, t, lvl FROM (SELECT *, row_number() OVER (PARTITION BY doc, key ORDER BY p NULLS FIRST, pos) AS r FROM oq WHERE key <> '') WHERE r = 1")
 def outline_of_scans(spark, d):
-    return structure.outline(structure.merge_headings(structure.heading_candidates(lines(spark, d))))
+    return structure.outline(_merged(spark, d)[1])
 
 
 @query(f"""WITH {CUR}, u AS (SELECT id AS doc, unnest(outline) AS o, CAST(generate_subscripts(outline, 1) - 1 AS INTEGER) AS pos FROM cur), k AS (SELECT doc, o.p AS p, pos, o.t AS t, o.lvl AS lvl, regexp_replace(lower(o.t), '[^a-z0-9]+', '', 'g') AS key FROM u WHERE o.t IS NOT NULL)
@@ -225,23 +247,30 @@ def _keep_pos(df: DataFrame) -> DataFrame:
 
 
 _JOINED = r"trim(regexp_replace(replace(regexp_replace(string_agg(t, chr(10) ORDER BY ord), '([^-])-\n(\p{Ll})', '\1\2', 'g'), chr(10), ' '), '\s+', ' ', 'g'))"
-_BLOCKS = rf"""{_HEADERS}, m AS (SELECT doc, page, list_sort(list(h))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS med FROM o GROUP BY ALL),
-r AS (SELECT o.doc, o.page, ord, trim(t) AS t, y, h, med FROM o JOIN m USING (doc, page) LEFT JOIN hd ON hd.doc = o.doc AND hd.key = lower(trim(regexp_replace(trim(t), '[0-9]+', '', 'g'))) WHERE hd.key IS NULL AND NOT regexp_matches(trim(t), '{K.NOISE}') AND NOT regexp_matches(trim(t), '{K.PAGE_NO}')),
-g AS (SELECT *, CASE WHEN lag(ord) OVER w IS NULL OR y - (lag(y) OVER w + lag(h) OVER w) > 0.9 * med OR regexp_matches(t, '{K.BULLET}') OR regexp_matches(t, '{K.CALLOUT}') THEN 1 ELSE 0 END AS s FROM r WINDOW w AS (PARTITION BY doc, page ORDER BY ord)),
+
+
+def _blocks_sql(heads: str) -> str:
+    """The blocks, with ``heads`` (doc, page, part, head), the lines that stand for a heading."""
+    return rf"""med AS (SELECT doc, page, list_sort(list(h))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS med FROM o GROUP BY ALL), {heads},
+r AS (SELECT o.doc, o.page, ord, trim(t) AS t, y, h, med, hf.head, len(regexp_extract_all(t, '\s{{3,}}')) >= 2 AS tr FROM o JOIN med USING (doc, page) LEFT JOIN hd ON hd.doc = o.doc AND hd.key = lower(trim(regexp_replace(trim(t), '[0-9]+', '', 'g'))) LEFT JOIN hf ON hf.doc = o.doc AND hf.page = o.page AND hf.part = trim(t) WHERE hd.key IS NULL AND NOT regexp_matches(trim(t), '{K.NOISE}') AND NOT regexp_matches(trim(t), '{K.PAGE_NO}')),
+g AS (SELECT *, CASE WHEN lag(ord) OVER w IS NULL OR y - (lag(y) OVER w + lag(h) OVER w) > 0.9 * med OR regexp_matches(t, '{K.BULLET}') OR regexp_matches(t, '{K.CALLOUT}') OR head IS NOT NULL OR lag(head) OVER w IS NOT NULL OR tr OR lag(tr) OVER w THEN 1 ELSE 0 END AS s FROM r WINDOW w AS (PARTITION BY doc, page ORDER BY ord)),
 i AS (SELECT *, CAST(sum(s) OVER (PARTITION BY doc, page ORDER BY ord) AS BIGINT) AS block FROM g),
-x AS (SELECT doc, page, block, {_JOINED} AS t, first(t ORDER BY ord) AS f FROM i GROUP BY ALL)
-SELECT doc, page, block, CASE WHEN regexp_matches(t, '{K.CALLOUT}') THEN 'note' WHEN regexp_matches(f, '{K.BULLET}') THEN 'li' ELSE 'p' END AS k, t FROM x WHERE t <> ''"""
+x AS (SELECT doc, page, block, max(head) AS head, bool_or(tr) AS tr, coalesce(max(head), {_JOINED}) AS t, first(t ORDER BY ord) AS f FROM i GROUP BY ALL),
+z2 AS (SELECT doc, page, block, CASE WHEN head IS NOT NULL THEN 'h' WHEN tr THEN 'tr' WHEN regexp_matches(t, '{K.CALLOUT}') THEN 'note' WHEN regexp_matches(f, '{K.BULLET}') THEN 'li' ELSE 'p' END AS k, t FROM x WHERE t <> '')
+SELECT doc, page, block, k, t FROM (SELECT *, row_number() OVER (PARTITION BY doc, page, k, t ORDER BY block) AS once FROM z2) WHERE k <> 'h' OR once = 1"""
+
 
+_NO_HEADS = "hf(doc, page, part, head) AS (SELECT CAST(NULL AS VARCHAR), CAST(NULL AS INTEGER), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) WHERE false)"
 
-@query(f"WITH {_BLOCKS}")
+
+@query(f"WITH {_HEADERS}, " + _blocks_sql(_NO_HEADS))
 def paragraph_blocks(spark, d):
-    return structure.paragraph_blocks(lines(spark, d))
+    return structure.paragraph_blocks(read_lines(spark, d))
 
 
-@query()
+@query(f"WITH RECURSIVE {_MERGED}, {_HEADERS.removeprefix(ORD_LINES + ', ')}, " + _blocks_sql("hf AS (SELECT doc, page, part, arg_max(t, pos) AS head FROM (SELECT doc, page, pos, t, unnest(string_split(parts, '|')) AS part FROM mh) GROUP BY doc, page, part)"))
 def paragraph_blocks_with_headings(spark, d):
-    l = lines(spark, d)
-    return structure.paragraph_blocks(l, structure.heading_candidates(l))
+    return structure.paragraph_blocks(*_merged(spark, d))
 
 
 @query(f"WITH {ORD_LINES} SELECT doc, page, {_JOINED} AS text FROM (SELECT doc, page, ord, trim(t) AS t FROM o WHERE trim(t) <> '') GROUP BY ALL")

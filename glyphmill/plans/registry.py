@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import boards, corpus
+from . import archive, boards, corpus
 
 
 def queries() -> dict[str, Callable]:
-    return {**corpus.QUERIES, **boards.QUERIES}
+    return {**corpus.QUERIES, **boards.QUERIES, **archive.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**corpus.SQL, **boards.SQL}
+    return {**corpus.SQL, **boards.SQL, **archive.SQL}

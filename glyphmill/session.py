@@ -74,17 +74,23 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     The files are removed by ``release``, else when the driver ends.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"glyphmill-{name}-{uuid.uuid4().hex}")
+    path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    at, files = _place(spark, path)
-    files.deleteOnExit(at)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 _written: dict[str, list[str]] = {}
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, removed by ``release``, else when the driver ends."""
+    path = os.path.join(shared_dir(spark), f"glyphmill-{name}-{uuid.uuid4().hex}")
+    at, files = _place(spark, path)
+    files.deleteOnExit(at)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def _place(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -23,6 +23,67 @@ def read_json_dir(spark: SparkSession, path: str, schema: str) -> tuple[DataFram
     return raw.filter("_corrupt_record is null").drop("_corrupt_record"), raw.agg(F.count_distinct("key").alias("n"))
 
 
+def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The records of files that hold one JSON array each, with ``ord``, the place in the file from 0. A missing key reads as null; a file that is no such array gives nothing."""
+    text = spark.read.text(path, wholetext=True)
+    rows = F.from_json("value", f"array<struct<{_fields(schema)}>>")
+    return text.select(F.posexplode(rows).alias("ord", "r")).select("ord", "r.*")
+
+
+def _fields(schema: str) -> str:
+    return ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in StructType.fromDDL(schema).fields)
+
+
+def page_number(name: str = "name") -> Column:
+    """The number at the end of a page image's name, so that page 10 comes after page 9; null without one."""
+    return F.regexp_extract(F.col(name), r"-([0-9]+)\.[A-Za-z]+$", 1).try_cast("int")
+
+
+def read_pages(spark: SparkSession, path: str, pages: list[int] | None = None) -> DataFrame:
+    """(sheet, page, bytes, content) of page images, those of ``pages`` only if given; the sheet is the name without page number and ending."""
+    f = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", "content")
+    rows = f.select(F.regexp_replace("name", r"(-[0-9]+)?\.[^.]*$", "").alias("sheet"), page_number().alias("page"), F.col("length").alias("bytes"), "content")
+    return rows if pages is None else rows.filter(F.col("page").isin(pages))
+
+
+def trace_totals(raster: DataFrame, vector: DataFrame) -> DataFrame:
+    """(sheet, pages, raster, vector, paths): pages traced, bytes of their images (sheet, page, bytes) and drawings (sheet, page, text), and paths drawn."""
+    v = vector.select("sheet", "page", F.octet_length("text").alias("v"), F.regexp_count("text", F.lit("<path")).alias("p"))
+    return raster.select("sheet", "page", "bytes").join(v, ["sheet", "page"]).groupBy("sheet").agg(F.count(F.lit(1)).alias("pages"), F.sum("bytes").alias("raster"), F.sum("v").alias("vector"), F.sum("p").alias("paths"))
+
+
+def theme_aware(svg: str = "text") -> Column:
+    """A traced drawing in the page's own colours: black ink becomes the current colour, and a sheet of paper lies behind it."""
+    ink = F.replace(F.col(svg), F.lit('fill="#000000"'), F.lit('fill="currentColor"'))
+    return F.regexp_replace(ink, r"^([\s\S]*?<svg[^>]*>)", '$1<rect width="100%" height="100%" fill="var(--paper,#fff)"/>')
+
+
+def read_symbols(spark: SparkSession, path: str, most: int = 4) -> DataFrame:
+    """(symbol, pin, name, kind) of the symbols in library files; a symbol that extends another has the pins of the one at the end of the chain, ``most`` steps away at most."""
+    head = re.compile(r'^\s*\(symbol\s+"([^"]*)"', re.M)
+    base = re.compile(r'\(extends\s+"([^"]*)"')
+    pin = re.compile(r'\(pin\s+(\w+)\s.*?\(name\s+"([^"]*)".*?\(number\s+"([^"]*)"', re.S)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for text in pdf["value"]:
+                starts = list(head.finditer(text))
+                top = [m for m in starts if not re.search(r"_\d+_\d+$", m[1])]  # parts of a symbol are named after it
+                for m, nxt in zip(top, top[1:] + [None]):
+                    body = text[m.start() : nxt.start() if nxt else len(text)]
+                    up = base.search(body)
+                    rows.append((m[1], up[1] if up else None, [(x[3], x[2], x[1]) for x in pin.finditer(body)]))
+            yield pd.DataFrame(rows, columns=["symbol", "base", "pins"])
+
+    s = spark.read.text(path, wholetext=True).mapInPandas(run, "symbol string, base string, pins array<struct<pin:string,name:string,kind:string>>").dropDuplicates(["symbol"])
+    chain = s.select("symbol", "base", "pins")
+    for _ in range(most):
+        up = s.select(F.col("symbol").alias("base"), F.col("base").alias("_base"), F.col("pins").alias("_pins"))
+        chain = chain.join(up, "base", "left").select("symbol", F.col("_base").alias("base"), F.when(F.col("base").isNotNull(), F.col("_pins")).otherwise(F.col("pins")).alias("pins"))
+    return chain.select("symbol", F.explode("pins").alias("p")).select("symbol", "p.pin", "p.name", "p.kind")
+
+
 def read_ocr_tsv(spark: SparkSession, path: str) -> DataFrame:
     """Words of tab-separated recogniser output: (file, block, par, line, word, t, x, y, w, h, c); rows that aren't words or whose numbers don't parse are dropped."""
     raw = spark.read.option("sep", "\t").option("quote", "").option("header", True).csv(path)
@@ -48,8 +109,8 @@ def read_bom_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_bom_csv(bom: DataFrame, path: str) -> None:
-    """Reference, Value, Quantity, the largest quantities first."""
-    bom.select(F.col("refs").alias("Reference"), F.col("part").alias("Value"), F.col("qty").alias("Quantity")).orderBy(F.desc("Quantity"), "Value").coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """Reference, Value, Quantity, the largest quantities first: one file per range, each with a header, in order of their names."""
+    bom.select(F.col("refs").alias("Reference"), F.col("part").alias("Value"), F.col("qty").alias("Quantity")).orderBy(F.desc("Quantity"), "Value").write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_postings(postings: DataFrame, path: str) -> None:

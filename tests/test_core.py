@@ -2,19 +2,22 @@ from __future__ import annotations
 
 import importlib
 import os
+import random
 import re
 import sys
 from collections import Counter
 from types import SimpleNamespace
 
 import duckdb
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from glyphmill import session
 from glyphmill.functions import constants as K
-from glyphmill.operators import assoc, board, catalog, circuit, extract, search, structure
+from glyphmill.api import Archive
+from glyphmill.operators import assoc, board, catalog, circuit, extract, raster, search, structure
 from glyphmill.operators.graph import components
 from glyphmill.plans import registry
 from glyphmill.sources import files
@@ -37,11 +40,12 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["search_and_topk", "postings_sharded", "catalog_first_last_wins", "diagnostic_classify", "running_headers", "heading_candidates", "paragraph_blocks", "dehyphenated_text", "nearest_designator", "pin_rule_errors", "gate_coherence", "section_asof_page", "incremental_ingest"])
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_against_sql(spark, duck, name):
     df = registry.queries()[name](spark, DATA)
     cols = sorted(df.columns)
     got = sorted(repr(tuple(r[c] for c in cols)) for r in df.collect())
+    session.release(spark)
     cur = duck.execute(registry.oracle_sql()[name])
     names = [c[0] for c in cur.description]
     assert sorted(names) == cols
@@ -212,7 +216,7 @@ def test_circuit_rules(spark):
         assert got[want] >= 1, want
     assert got["pin outside", "error", "U1"] == 2
     assert circuit.verdict(f).collect()[0].errors > 0
-    assert len(K.DEVICES) == 20 and all(set(map(int, re.findall(r"\d+", d[5]))) <= set(range(1, d[1] + 1)) - {d[2], d[3]} for d in K.DEVICES)
+    assert len(K.DEVICES) == 20 and all({p for gate in d[5] for side in gate for p in side} <= set(range(1, d[1] + 1)) - {d[2], d[3]} for d in K.DEVICES)
 
 
 def test_components(spark):
@@ -255,3 +259,169 @@ def test_resume(spark, tmp_path):
     st_ = ingest.state(spark.read.parquet(log))
     assert rows(st_.select("id", "status")) == [(1, "done"), (2, "done")] and spark.read.parquet(log).count() == 3
     assert ingest.pending(spark.createDataFrame([(1,), (3,)], "id int"), st_).collect()[0].id == 3
+
+
+def test_headings_and_table_rows_in_blocks(spark):
+    """A heading over two lines comes out once, at its first line; table rows stand alone; a repeated heading of a page isn't repeated."""
+    l = [("d", 1, 0, "MAIN", 10, 10, 40, 90.0), ("d", 1, 1, "CONTROLS", 10, 55, 40, 90.0), ("d", 1, 2, "the text begins here", 10, 200, 20, 90.0), ("d", 1, 3, "and goes on", 10, 222, 20, 90.0), ("d", 1, 4, "R1   10k   red", 10, 244, 20, 90.0), ("d", 1, 5, "R2   22k   blue", 10, 266, 20, 90.0), ("d", 1, 6, "after the table", 10, 288, 20, 90.0)]
+    l += [("d", 1, k, f"more plain text {chr(90 + k)}x", 10, 200 + 22 * k, 20, 90.0) for k in range(20, 30)]
+    lines = spark.createDataFrame(l, LINE)
+    heads = structure.merge_headings(structure.heading_candidates(lines))
+    got = [(r.k, r.t) for r in structure.paragraph_blocks(lines, heads).orderBy("block").collect()]
+    assert got[:5] == [("h", "MAIN CONTROLS"), ("p", "the text begins here and goes on"), ("tr", "R1 10k red"), ("tr", "R2 22k blue"), ("p", "after the table")]
+    assert [t for k, t in got if k == "h"] == ["MAIN CONTROLS"]
+    assert structure.paragraph_blocks(lines.limit(0), heads.limit(0)).count() == 0
+
+
+def test_reader(spark):
+    b = spark.createDataFrame([("x", [(1, [("li", "1. one"), ("li", "- two"), ("p", None), (None, "rest"), ("tr", "a"), ("tr", "b"), ("li", "z")]), (2, None)], [("H", 1, 1)]), ("y", None, None)], "id string, pages array<struct<n:int,blocks:array<struct<k:string,t:string>>>>, outline array<struct<t:string,lvl:int,p:int>>")
+    assert [(r.run, r.k, r["items"]) for r in structure.block_runs(b).orderBy("run").collect()] == [(0, "li", ["one", "two"]), (1, "p", ["rest"]), (2, "tr", ["a", "b"]), (3, "li", ["z"])]
+    assert rows(structure.contents(b)) == [("x", 0, "Page 1", 1, 1), ("x", 1, "Page 2", 2, 1)] and rows(structure.contents(b, least=2)) == [("x", 0, "H", 1, 1)]
+    t = spark.createDataFrame([("a <b> Fly.back fly.BACK flyxback",), (None,)], "t string")
+    assert [r[0] for r in t.select(structure.highlight(F.col("t"), "fly.back")).collect()] == ["a &lt;b&gt; <mark>Fly.back</mark> <mark>fly.BACK</mark> flyxback", None]
+    assert t.select(structure.highlight(F.col("t"), "f")).first()[0] == "a &lt;b&gt; Fly.back fly.BACK flyxback"
+    assert rows(structure.word_counts(spark.createDataFrame([(" a  b\n",), (None,)], "text string"))) == [(" a  b\n", 2), ("", 0)]
+    assert rows(structure.needs_structure(b).select("id")) == [("x",), ("y",)] and structure.needs_structure(b, True).count() == 2
+
+
+def test_machines(spark):
+    chip = "array<struct<n:string,mhz:double>>"
+    raw = spark.createDataFrame([(1, "", "Café Run", "", None, [("Z80", 1.0), (None, 1.0), ("A", 1.0), ("B", 1.0), ("C", 1.0)], None, None, [("u", None, None), ("", "x", "y"), (None, "x", "y"), ("v", "Drawing Set", "T")]), (2, None, "Cafe run", "1980", "M", None, None, None, None), (3, "m3", None, None, None, None, None, None, [])], f"ord int, id string, name string, y string, m string, cpu {chip}, aud {chip}, dip array<int>, docs array<struct<l:string,t:string,f:string>>")
+    m = catalog.normalise_machines(raw)
+    assert rows(catalog.machine_index(m)) == sorted([("cafe-run", "Café Run", "", "", 2, 1, 0, ["Z80", "A", "B"]), ("cafe-run-2", "Cafe run", "1980", "M", 0, 0, 0, []), ("m3", "Unknown", "", "", 0, 0, 0, [])], key=repr)
+    assert [(r.machine, r.title, r.doc_type, r.schematic, r.place) for r in catalog.flatten_docs(m).orderBy("place").collect()] == [("cafe-run", "", "Document", False, 0), ("cafe-run", "T", "Drawing Set", True, 1)]
+    assert catalog.machine_index(catalog.normalise_machines(raw.limit(0))).count() == 0
+
+
+def test_archive(spark, tmp_path):
+    import json
+
+    (tmp_path / "chips.json").write_text(json.dumps([{"board": "b-1", "device": "C4", "part": "7400", "section": "sync"}, {"board": "other", "device": "C4"}]))
+    (tmp_path / "power.json").write_text(json.dumps([{"machine": "m", "title": "T", "fuses": {"F1": "2 A"}}]))
+    (tmp_path / "related.json").write_text(json.dumps([{"board": "b-1", "name": "B2"}]))
+    (tmp_path / "boards.json").write_text(json.dumps([{"slug": "b-2", "name": "Z", "mfr": "A"}, {"slug": "b-1", "name": "A", "mfr": "A"}]))
+    a = Archive(spark, DATA, str(tmp_path))
+    assert [r.slug for r in a.boards().collect()] == ["b-1", "b-2"] and a.chips("b-1").count() == 1 and a.related("b-1").first().name == "B2" and a.power("m").first().fuses == {"F1": "2 A"}
+    assert a.find_chip("b-1", "SYN").first().device == "C4" and a.find_chip("b-1", " ").count() == 0
+    plain = Archive(spark, DATA)
+    assert plain.boards().count() == plain.chips("b").count() == plain.power("m").count() == 0
+    for ask, bad in ((plain.machine, "a b"), (plain.doc, "xyz"), (plain.parts, "0"), (plain.pdf, ""), (plain.chips, "B_1"), (plain.signals, "/"), (plain.signatures, "-"), (plain.related, "x" * 41)):
+        with pytest.raises(KeyError):
+            ask(bad)
+    one = plain._t("doc_bodies").filter("id is not null").first().id
+    assert plain.doc(one).count() == 1 and plain.pdf(one).count() == 1 and plain.stats().count() == 1
+    m = plain._t("docs").filter("machine is not null").first().machine.strip().lower()
+    assert plain.machine(m).count() <= 1 and plain.diagnostics(m).count() >= 0 and plain.signatures(m).count() >= 0 and plain.parts(one).count() >= 0 and plain.chip("Z80").count() <= 1
+    found = plain.search("meter between")
+    assert found.count() == min(60, found.first().total) and plain.find("meter").count() > 0
+    plan = plain.search("meter")._jdf.queryExecution().executedPlan().toString()
+    assert "shard" in plan and "PartitionFilters" in plan  # only the shards of the terms are read
+    every, some = plain.machines("a"), plain.machines("a", with_docs=True)
+    assert every.first().total >= some.first().total >= some.count() or some.count() == 0
+
+
+def test_more_readers_and_writers(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"slug": "x", "year": "1980"}, {"slug": "y"}]')
+    (tmp_path / "b.json").write_text("{broken")
+    assert rows(files.read_json_array(spark, str(tmp_path / "*.json"), files.MACHINE).select("ord", "slug", "year").filter("slug is not null")) == [(0, "x", "1980"), (1, "y", None)]
+    for n in (9, 10):
+        (tmp_path / f"sheet-{n}.pbm").write_bytes(b"P4\n8 1\n\xf0")
+    p = files.read_pages(spark, str(tmp_path / "*.pbm"))
+    assert [r.page for r in p.orderBy("page").collect()] == [9, 10] and files.read_pages(spark, str(tmp_path / "*.pbm"), [10]).count() == 1
+    svg = spark.createDataFrame([("sheet", 9, '<?xml?><svg a="1"><g fill="#000000"><path d=""/><path d=""/></g></svg>')], "sheet string, page int, text string")
+    assert svg.select(files.theme_aware()).first()[0] == '<?xml?><svg a="1"><rect width="100%" height="100%" fill="var(--paper,#fff)"/><g fill="currentColor"><path d=""/><path d=""/></g></svg>'
+    assert rows(files.trace_totals(p, svg)) == [("sheet", 1, 8, len(svg.first().text), 2)]
+    (tmp_path / "lib.kicad_sym").write_text('(lib\n (symbol "74LS00"\n  (symbol "74LS00_1_1"\n   (pin output line\n (at 0 0)\n (name "Q" (effects)) (number "3" (effects)))\n   (pin power_in line\n (name "VCC") (number "14"))))\n (symbol "7400" (extends "74LS00"))\n (symbol "7401" (extends "7400"))\n (symbol "lost" (extends "none")))')
+    got = rows(files.read_symbols(spark, str(tmp_path / "lib.kicad_sym")))
+    assert [x for x in got if x[0] == "7401"] == [("7401", "14", "VCC", "power_in"), ("7401", "3", "Q", "output")] and {x[0] for x in got} == {"74LS00", "7400", "7401"}
+    b = spark.createDataFrame([(["C1", "C2"], "b", 2), (["R1"], 'a "q"', 1)], "refs array<string>, part string, qty int").withColumn("refs", F.array_join("refs", ","))
+    files.write_bom_csv(b, str(tmp_path / "bom"))
+    back = files.read_bom_csv(spark, str(tmp_path / "bom"))
+    assert rows(back) == [(["C1", "C2"], "b", 2), (["R1"], 'a "q"', 1)]
+    files.write_json_by_key(spark.createDataFrame([("k", 1, None), ("l", 2, "x")], "key string, n int, t string"), "key", str(tmp_path / "out"))
+    assert rows(spark.read.json(str(tmp_path / "out")).select("key", "n", "t")) == [("k", 1, None), ("l", 2, "x")]
+    assert os.path.exists(tmp_path / "out" / "key=k")
+
+
+def test_supply_and_library(spark):
+    devices, gates = circuit.device_pins(spark)
+    pads = spark.createDataFrame([("U1", "7490", str(p)) for p in range(1, 15)] + [("C1", "0.1uF", "1"), ("C1", "0.1uF", "2"), ("R1", "0.1uF", "1"), ("U2", None, "1")], "ref string, value string, pin string")
+    assert rows(circuit.connect_power(pads, devices)) == [("C1", "1", "+5V"), ("C1", "2", "GND"), ("U1", "10", "GND"), ("U1", "5", "+5V")]
+    want = spark.createDataFrame([("n", "U1", "3"), ("n", "U1", "99"), ("n", "U9", "1")], "net string, ref string, pin string")
+    assert rows(circuit.connect_signals(want, pads).select("pin", "state")) == [("1", "no footprint"), ("3", "connected"), ("99", "no pad")]
+    names = spark.createDataFrame([("7404", "L04"), ("555", "none")], "part string, symbol string")
+    sym = spark.createDataFrame([("L04", str(p), {14: "VCC", 7: "GND"}.get(p, "x"), "output" if p in (2, 4, 6, 8, 10) else "input") for p in range(1, 15) if p != 1], "symbol string, pin string, name string, kind string")
+    got = {(r.part, r.problem, r.detail) for r in circuit.library_check(devices.filter("part in ('7404', '555', '7400')"), gates, names, sym).collect()}
+    assert got == {("7404", "pin not on symbol", "1"), ("7404", "output typed otherwise", "12 input"), ("555", "not checked", None), ("7400", "not checked", None)}
+
+
+def _sheet():
+    """A drawing: two solid bodies joined by a bent wire, a crossing, and a round dot."""
+    ink = np.zeros((420, 640), bool)
+    ink[70:114, 100:144] = ink[190:234, 450:494] = True
+    ink[89:92, 147:300] = ink[89:212, 297:300] = ink[209:212, 297:447] = True
+    ink[300:303, 50:250] = ink[260:360, 150:153] = True
+    yy, xx = np.ogrid[:420, :640]
+    ink[(yy - 301) ** 2 + (xx - 501) ** 2 <= 30] = True
+    return ink
+
+
+def test_raster_parts():
+    r = random.Random(1)
+    mask = np.array([[r.random() < 0.45 for _ in range(40)] for _ in range(30)])
+    for diagonal in (False, True):
+        lab, boxes = raster.label(mask, diagonal)
+        seen, n = np.zeros(mask.shape, int), 0
+        for y, x in zip(*np.nonzero(mask)):
+            if not seen[y, x]:
+                n += 1
+                todo = [(y, x)]
+                seen[y, x] = n
+                while todo:
+                    a, b = todo.pop()
+                    for i in (-1, 0, 1):
+                        for j in (-1, 0, 1):
+                            c, e = a + i, b + j
+                            if (diagonal or not i or not j) and 0 <= c < 30 and 0 <= e < 40 and mask[c, e] and not seen[c, e]:
+                                seen[c, e] = n
+                                todo.append((c, e))
+        assert (lab == seen).all() and len(boxes) == n
+        assert all((y0, x0, y1, x1) == (np.nonzero(seen == k)[0].min(), np.nonzero(seen == k)[1].min(), np.nonzero(seen == k)[0].max() + 1, np.nonzero(seen == k)[1].max() + 1) for k, (y0, x0, y1, x1) in enumerate(boxes, 1))
+    brute = np.zeros_like(mask)
+    for y in range(30 - 1):
+        for x in range(40 - 2):
+            if mask[y : y + 2, x : x + 3].all():
+                brute[y : y + 2, x : x + 3] = True
+    assert (raster.opened(mask, 2, 3) == brute).all() and not raster.opened(mask, 50, 1).any()
+    assert raster.numbers([(0, 0, 10, 5), (1, 8, 11, 13), (30, 8, 40, 13), (0, 20, 10, 25), (0, 60, 10, 65)]) == [(0, 0, 11, 25), (30, 8, 40, 13), (0, 60, 10, 65)]
+
+
+def test_raster_sheet(spark):
+    ink = _sheet()
+    wires = raster.wire_mask(ink)
+    assert wires[150, 298] and wires[90, 298] and not wires[100, 110]  # the bend stays, the body goes
+    assert raster.junction_dots(ink) == [(301, 501)]
+    pnm = b"P5\n# made\n640 420\n255\n" + np.where(ink, 0, 255).astype(np.uint8).tobytes()
+    bits = b"P4 640 420\n" + np.packbits(ink, axis=1).tobytes()
+    assert (raster.read_pnm(pnm) == ink).all() and (raster.read_pnm(bits) == ink).all() and (raster.read_pnm(b"P1 2 1 1 0") == [[True, False]]).all() and (raster.read_pnm(b"P2 2 1 4 0 4") == [[True, False]]).all()
+    t = raster.trace_sheets(spark.createDataFrame([("s", pnm), ("bad", b"x"), ("none", None)], "sheet string, content binary"), lambda cut: str(cut.shape[0]))
+    got = t.collect()
+    assert [r.sheet for r in got if r.error] == ["bad"]
+    assert len([r for r in got if r.kind == "component"]) == 2 and [tuple(r.box) for r in got if r.kind == "dot"] == [(301, 501)]
+    ends = [(r.component, r.net) for r in got if r.kind == "attachment"]
+    assert len({c for c, _ in ends}) == 2
+    assert raster.net_degree(t).count() == 2
+    assert raster.trace_sheets(spark.createDataFrame([], "sheet string, content binary")).count() == 0
+
+
+def test_pins():
+    lab = np.zeros((100, 100), np.int32)
+    lab[50, 60:100] = 3
+    lab[20, 60:100] = 2
+    assert raster.pins([(45, 52, 55, 58), (0, 0, 5, 5)], [(40, 10, 60, 40)], lab, {2, 3}) == [(0, (45, 52, 55, 58), 3, 15)]
+
+
+def test_tiles(spark):
+    b = [("s", 0, 1, 5, 9), ("s", 1, 1, 5, 10), ("s", 0, 2, 9, 9), ("s", 2, 4, 10, 8), ("s", 3, 7, 10, 10), ("s", 3, 8, 19, 10), ("t", 1, 1, 5, 10)]
+    got = dict(rows(raster.join_tiles(spark.createDataFrame(b, "sheet string, tile int, net int, y int, x int"))))
+    assert got["s/1/1"] == got["s/0/1"] and got["s/0/2"] == got["s/2/4"] == got["s/3/7"] and len(set(got.values())) == 4
