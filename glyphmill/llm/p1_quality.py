@@ -22,17 +22,22 @@ GRID = 100  # steps of the quantile grid
 COMMON_WORDS = 100_000  # a word list of more rows is refused
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_TABLE = re.compile(r"\||\.{4,}|(?:\. ){3,}|(?:[^;\s]*;){3,}[^;]*$|_{4,}|={4,}|(?:\* ){4,}")
+_FIELDS = re.compile(r"(?:[^;\s]*;){3,}[^;]*$")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯ก-๛]")
 _VOWEL = re.compile(r"[aeiouyà-æè-ïò-öø-ýœаеёиоуыэюяіїαεηιουω]", re.I)
 _BROKEN = re.compile(r"[^\W\d_]{2,}[-‐‑¬­]\s*$")
 
 
+def table_marks(text: str) -> bool:
+    """Whether a line has the marks of a table: bars, dot leaders, rules, rows of stars, or fields parted by semicolons at its end."""
+    return "|" in text or "...." in text or ". . . " in text or "____" in text or "====" in text or "* * * * " in text or text.count(";") >= 3 and _FIELDS.search(text) is not None
+
+
 def is_running(text: str, common: set[str], least: int = 9) -> bool:
     """Whether a line or block is running sentences: enough words, mostly letters, shaped like words of a language, no
     table marks. Case, final punctuation and list marks don't matter."""
     dense = len(text) - text.count(" ")
-    if not dense or _TABLE.search(text):
+    if not dense or table_marks(text):
         return False
     cjk = 0 if text.isascii() else len(_CJK.findall(text))
     if cjk >= 8 and cjk >= 0.5 * dense:
