@@ -311,6 +311,21 @@ def _corpus(w, q):
     return p6.Corpus(*tables, sum(w.values()))
 
 
+def test_p6_counted(spark, monkeypatch):
+    r = random.Random(11)
+    docs = [[" ".join(r.choice(["the", "cross-hatch", "c0in", "Über", "a"]) for _ in range(r.randrange(0, 9))) for _ in range(4)] for _ in range(60)]
+    words_, pairs = Counter(), Counter()
+    for d in docs:
+        w = p6.words_of("\n".join(d))
+        words_.update(w), pairs.update(zip(w, w[1:]))
+    df = spark.createDataFrame([("x", str(i), [(1, k, t) for k, t in enumerate(d)]) for i, d in enumerate(docs)], "origin string, doc_id string, l array<struct<page:int,pos:int,t:string>>")
+    for flush in (p6.FLUSH_WORDS, 20):
+        monkeypatch.setattr(p6, "FLUSH_WORDS", flush)
+        got = p6.counted(df).collect()
+        assert {x.w: x.n for x in got if x.w is not None} == words_
+        assert {x.h: x.n for x in got if x.w is None} == {int(p6._hashes(["\0".join(k)], 3).view(np.int64)[0]): n for k, n in pairs.items()}
+
+
 def test_p6_counts_of_many_words():
     """Half a million words and pairs: the counts are those given, and forms that don't occur read as none."""
     w = {f"w{i}": 1 + i % 7 for i in range(500_000)} | {"the": 10**7}
