@@ -280,4 +280,13 @@ def p2_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p2_copies": p2_copies}
-SQL: dict[str, str] = {}
+_SQL = r"""WITH cur AS (SELECT id, pages FROM (SELECT id, pages, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC NULLS LAST) AS rn FROM doc_bodies WHERE id IS NOT NULL) WHERE rn = 1),
+ti AS (SELECT id, arg_min(coalesce(title, ''), (coalesce(ord, 4611686018427387904), coalesce(title, ''))) AS title FROM docs WHERE id IS NOT NULL GROUP BY id),
+pg AS (SELECT id, unnest(pages) AS p, generate_subscripts(pages, 1) AS pi FROM cur), bl AS (SELECT id, p.n AS n, pi, unnest(p.blocks) AS b, generate_subscripts(p.blocks, 1) AS bi FROM pg),
+tx AS (SELECT cur.id, coalesce(title, '') || ' ' || coalesce(string_agg(b.t, ' ' ORDER BY n NULLS FIRST, pi, bi), '') AS text FROM cur LEFT JOIN bl ON bl.id = cur.id LEFT JOIN ti ON ti.id = cur.id GROUP BY cur.id, title),
+wo AS (SELECT id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM tx), sh AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM wo WHERE len(w) >= 20)),
+n AS (SELECT id, count(*) AS n FROM sh GROUP BY id)"""
+SQL = {
+    "p2_found": _SQL + ", c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.id < b.id GROUP BY ALL) SELECT id_a, id_b FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE c >= 0.6 * (x.n + y.n - c)",
+    "p2_copies": _SQL + ", k AS (SELECT id, md5(string_agg(s, '|' ORDER BY s)) AS k FROM sh GROUP BY id) SELECT id, min(id) OVER (PARTITION BY k) AS class_rep, count(*) OVER (PARTITION BY k) AS copies FROM k",
+}

@@ -115,4 +115,15 @@ def p3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_cleaned": p3_cleaned, "p3_lines": p3_lines}
-SQL: dict[str, str] = {}
+_SQL = rf"""WITH cur AS (SELECT id, pages FROM (SELECT id, pages, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC NULLS LAST) AS rn FROM doc_bodies WHERE id IS NOT NULL) WHERE rn = 1),
+pg AS (SELECT id, unnest(pages) AS p FROM cur), bl AS (SELECT id, p.n AS page, unnest(p.blocks) AS b, CAST(generate_subscripts(p.blocks, 1) - 1 AS INTEGER) AS block_no FROM pg),
+li AS (SELECT id, page, block_no, regexp_replace(lower(b.t), '[^\p{{L}}]+', '', 'g') AS letters, len(regexp_extract_all(b.t, '\p{{L}}{{4,}}')) AS w FROM bl WHERE b.t IS NOT NULL AND coalesce(b.k, '') <> 'h' AND len(regexp_extract_all(b.t, '\p{{L}}{{4,}}')) >= 5),
+ma AS (SELECT DISTINCT id, trim(lower(machine)) AS machine FROM docs WHERE id IS NOT NULL AND trim(machine) <> ''),
+sn AS (SELECT machine, letters, id, bool_or(w >= 6) AS whole FROM li JOIN ma USING (id) GROUP BY ALL), fo AS (SELECT machine, letters, length(letters) AS n, count(*) AS docs, bool_or(whole) AS whole FROM sn GROUP BY ALL),
+me AS (SELECT machine, letters AS line, n AS m, docs AS d, CAST(floor((floor(n / {WIDTH}) * {WIDTH} - 1) / 2) AS BIGINT) AS half FROM fo WHERE docs >= 2 AND whole),
+be AS (SELECT machine, letters, line FROM fo JOIN me USING (machine) WHERE letters = line OR (docs <= d AND abs(n - m) <= 2 AND (left(letters, half) = left(line, half) OR right(letters, half) = right(line, half)) AND levenshtein(letters, line) <= 2)),
+al AS (SELECT machine, count(*) AS a FROM ma GROUP BY machine), oft AS (SELECT machine, line, docs, docs / a AS share FROM (SELECT machine, line, count(DISTINCT id) AS docs FROM be JOIN sn USING (machine, letters) GROUP BY ALL) JOIN al USING (machine) WHERE docs >= 5)"""
+SQL = {
+    "p3_found": _SQL + " SELECT DISTINCT id, page, block_no FROM li JOIN ma USING (id) JOIN be USING (machine, letters) JOIN oft USING (machine, line)",
+    "p3_lines": _SQL + " SELECT * FROM oft",
+}

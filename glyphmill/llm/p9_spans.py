@@ -236,4 +236,14 @@ def p9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p9_passages": p9_passages, "p9_found": p9_found, "p9_copies": p9_copies, "p9_shared": p9_shared}
-SQL: dict[str, str] = {}
+_SQL = f"""WITH d AS (SELECT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND length(text) >= {SPAN}),
+w AS (SELECT doc_id, i, substr(text, i, {SPAN}) AS w FROM (SELECT doc_id, text, unnest(range(1, length(text) - {SPAN - 2})) AS i FROM d)),
+hot AS (SELECT w FROM w GROUP BY w HAVING min(doc_id) < max(doc_id)), s AS (SELECT doc_id, i, w FROM w SEMI JOIN hot USING (w))"""
+SQL = {
+    "p9_found": _SQL + " SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM s a JOIN s b ON a.w = b.w AND a.doc_id < b.doc_id",
+    "p9_copies": f"SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class_rep, count(*) OVER (PARTITION BY text) AS copies FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND length(text) >= {SPAN})",
+    "p9_shared": _SQL + f""", c AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n FROM (SELECT doc_id, least({SPAN}, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, {SPAN})) AS n FROM s) GROUP BY doc_id),
+v AS (SELECT doc_id, level, hash(substr(text, i, level)) AS h FROM (SELECT doc_id, text, level, unnest(range(1, length(text) - level + 2)) AS i FROM d, (SELECT unnest([{", ".join(str(SPAN << k) for k in range(8))}]) AS level) WHERE doc_id IN (SELECT doc_id FROM c) AND length(text) >= level)),
+t AS (SELECT doc_id, CAST(max(level) AS INTEGER) AS longest FROM v SEMI JOIN (SELECT level, h FROM v GROUP BY level, h HAVING min(doc_id) < max(doc_id)) x USING (level, h) GROUP BY doc_id)
+SELECT documents.doc_id, CAST(coalesce(length(text), 0) AS INTEGER) AS n_chars, coalesce(c.n, 0) AS shared_chars, coalesce(longest, 0) AS longest FROM documents LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
+}
