@@ -288,5 +288,10 @@ wo AS (SELECT id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM tx), sh
 n AS (SELECT id, count(*) AS n FROM sh GROUP BY id)"""
 SQL = {
     "p2_found": _SQL + ", c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.id < b.id GROUP BY ALL) SELECT id_a, id_b FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE c >= 0.6 * (x.n + y.n - c)",
+    "p2_groups": _SQL.replace("WITH cur", "WITH RECURSIVE cur", 1) + """, k AS (SELECT id, md5(string_agg(s, '|' ORDER BY s)) AS k FROM sh GROUP BY id), m AS (SELECT id, min(id) OVER (PARTITION BY k) AS rep, count(*) OVER (PARTITION BY k) AS copies FROM k),
+rs AS (SELECT sh.* FROM sh JOIN m ON m.id = sh.id AND m.rep = m.id), c AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM rs a JOIN rs b ON a.s = b.s AND a.id <> b.id GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c >= 0.6 * (x.n + y.n - c)), r(node, g) AS (SELECT a, a FROM e UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.node),
+gr AS (SELECT node, min(g) AS g FROM r GROUP BY node), li AS (SELECT a, count(*) AS links FROM e GROUP BY a)
+SELECT m.id, coalesce(g, rep) AS group_id, copies, coalesce(links, 0) AS links FROM m LEFT JOIN gr ON node = rep LEFT JOIN li ON a = rep""",
     "p2_copies": _SQL + ", k AS (SELECT id, md5(string_agg(s, '|' ORDER BY s)) AS k FROM sh GROUP BY id) SELECT id, min(id) OVER (PARTITION BY k) AS class_rep, count(*) OVER (PARTITION BY k) AS copies FROM k",
 }
