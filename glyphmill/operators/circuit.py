@@ -70,11 +70,14 @@ def connect_power(pads: DataFrame, devices: DataFrame, decoupling: str = "0.1uF"
 
 
 def connect_signals(nets: DataFrame, pads: DataFrame) -> DataFrame:
-    """(net, ref, pin, state) of the wanted connections (net, ref, pin): 'connected', 'no footprint' or 'no pad' by what the board's ``pads`` (ref, pin) hold."""
-    refs = pads.select("ref").distinct().withColumn("_r", F.lit(True))
-    hit = pads.select("ref", "pin").distinct().withColumn("_p", F.lit(True))
-    state = F.when(F.col("_p"), "connected").when(F.col("_r"), "no pad").otherwise("no footprint")
-    return nets.join(hit, ["ref", "pin"], "left").join(refs, "ref", "left").select("net", "ref", "pin", state.alias("state"))
+    """(net, ref, pin, state) of the wanted connections (net, ref, pin): 'connected', 'no footprint' or 'no pad' by what the board's ``pads`` (ref, pin) hold.
+
+    One row per footprint with its pins, which meets the connections by shuffle: pads unfolded from their parts are many times what the planner takes them for, so it mustn't
+    choose to broadcast them by that.
+    """
+    held = pads.filter("ref is not null").groupBy("ref").agg(F.collect_set("pin").alias("_p")).hint("merge")
+    state = F.when(F.array_contains("_p", F.col("pin")), "connected").when(F.col("_p").isNotNull(), "no pad").otherwise("no footprint")
+    return nets.join(held, "ref", "left").select("net", "ref", "pin", state.alias("state"))
 
 
 def pad_tally(connections: DataFrame) -> DataFrame:

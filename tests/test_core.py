@@ -355,6 +355,19 @@ def test_supply_and_library(spark):
     assert got == {("7404", "pin not on symbol", "1"), ("7404", "output typed otherwise", "12 input"), ("555", "not checked", None), ("7400", "not checked", None)}
 
 
+def _unfolded_pads(spark, n):
+    """Pads unfolded from their parts: 500 to each, of which the planner knows nothing."""
+    return spark.range(n).select(F.concat(F.lit("U"), F.col("id").cast("string")).alias("ref"), F.explode(F.sequence(F.lit(1), F.lit(500)).cast("array<string>")).alias("pin"))
+
+
+def test_pads_are_not_broadcast(spark):
+    pads = _unfolded_pads(spark, 3).unionByName(spark.sql("SELECT * FROM VALUES ('E1', NULL), (NULL, '1'), ('U0', '7'), ('U0', NULL) p(ref, pin)"))
+    want = spark.sql("SELECT * FROM VALUES ('n', 'U0', '7'), ('n', 'U0', '500'), ('n', 'U2', '501'), ('n', 'U3', '1'), ('n', 'E1', '1'), ('n', NULL, '1'), ('n', 'U1', NULL), (NULL, 'U1', '1') w(net, ref, pin)")
+    got = circuit.connect_signals(want, pads)
+    assert rows(got) == sorted([("n", "U0", "7", "connected"), ("n", "U0", "500", "connected"), ("n", "U2", "501", "no pad"), ("n", "U3", "1", "no footprint"), ("n", "E1", "1", "no pad"), ("n", None, "1", "no footprint"), ("n", "U1", None, "no pad"), (None, "U1", "1", "connected")], key=repr)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def _sheet():
     """A drawing: two solid bodies joined by a bent wire, a crossing, and a round dot."""
     ink = np.zeros((420, 640), bool)
