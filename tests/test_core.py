@@ -368,6 +368,12 @@ def test_pads_are_not_broadcast(spark):
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["signal_nets", "pad_tally"])
+def test_signal_nets_have_no_broadcast(spark, name):
+    """Pads grow with the parts, the connections with the orders: neither is broadcast, whatever the planner takes them for."""
+    assert "Broadcast" not in registry.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
 def _sheet():
     """A drawing: two solid bodies joined by a bent wire, a crossing, and a round dot."""
     ink = np.zeros((420, 640), bool)
