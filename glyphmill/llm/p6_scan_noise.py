@@ -1,9 +1,9 @@
 """Problem 6: faults of scanned text (running headers, page numbers, broken words, misread letters) and its repair into paragraphs.
 
 Misreadings are decoded as a noisy channel: each doubtful word of a line gets the words it may have been (one confusion undone), each with the confusion's probability as the
-corpus shows it, and the Viterbi path of the line under corpus word and word-pair counts is taken. All words and pairs of the corpus are counted, by shuffle; what is sent to the tasks
-are those of at least the share 1 / ``RESOLUTION`` of all words. There can't be more than ``RESOLUTION`` of either, whatever the corpus: at most 285 MB of words (8.5 bytes each) and
-117 MB of pairs (3.5 bytes each), and in natural text, where few words are frequent, a small part of that.
+corpus shows it, and the Viterbi path of the line under corpus word and word-pair counts is taken. All words and pairs of the corpus are counted, by shuffle. The most frequent ones are sent
+to the tasks, ``SENT`` of either at most: 36 MB of words (8.5 bytes each) and 15 MB of pairs (3.5 bytes each). If there are more, each document gets the counts of the rarer ones that
+it may ask for by a join (``with_rare``), so the result is the same however few are sent.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from ..sources.tables import bounded_rows, current_bodies, not_blank, table
 from .p1_quality import _BROKEN, COMMON_WORDS, is_running
 
 STEPS = 8  # steps of a pair's count per doubling
-RESOLUTION = 2**25  # words and pairs of less than this part of all words read as not seen, and as just that frequent where they are compared with others
+RESOLUTION = 2**25  # words of a corpus of which no more than this can be of ``floor_of`` it
+SENT = 2**22  # words, and pairs, that are sent to all tasks; the others come with the documents
 #: Fixed values: (as meant, as misread) in lower case; those of capitals after it.
 CONFUSIONS = [("e", "c"), ("t", "f"), ("i", "l"), ("o", "0"), ("a", "@"), ("l", "1"), ("s", "5"), ("h", "b"), ("u", "ii"), ("g", "9"), ("ri", "n"), ("m", "rn"), ("w", "vv"), ("ti", "h"), ("rn", "m"), ("i", "1"), ("l", "i"), ("b", "8"), ("z", "2"), ("cl", "d"), ("d", "cl"), ("g", "6"), ("li", "h"), ("nn", "m"), ("b", "6")]
 CAPITALS = [("e", "f"), ("o", "0"), ("i", "1"), ("s", "5"), ("b", "8"), ("g", "6"), ("z", "2"), ("a", "@"), ("o", "q"), ("c", "g"), ("a", "4"), ("l", "1"), ("i", "l"), ("u", "ii"), ("w", "vv")]
@@ -91,10 +92,11 @@ def words_of(t: str) -> list[str]:
 
 
 class Corpus:
-    """Corpus counts as sent to the tasks: packed tables of words and of pairs, the number of all words, and the probability of each confusion (as meant, as misread)."""
+    """Corpus counts as sent to the tasks: packed tables of words and of pairs, the number of all words, and the probability of each confusion (as meant, as misread).
+    ``partly``: there are rarer ones too."""
 
-    def __init__(self, words: tuple, pairs: tuple, total: float, rates: dict[tuple[str, str], float] | None = None):
-        self.words, self.pairs, self.total, self.rates = words, pairs, total, rates or {}
+    def __init__(self, words: tuple, pairs: tuple, total: float, rates: dict[tuple[str, str], float] | None = None, partly: bool = False):
+        self.words, self.pairs, self.total, self.rates, self.partly = words, pairs, total, rates or {}, partly
 
     def sum(self) -> float:
         return self.total
@@ -123,13 +125,15 @@ class Counts:
     def __init__(self, corpus: Corpus):
         view = lambda t, fp, n: (64 - t[0], memoryview(t[1]).cast("I"), memoryview(t[2]).cast(fp), memoryview(t[3]).cast(n))
         self.words, self.pairs = view(corpus.words, "I", "f"), view(corpus.pairs, "H", "B")
+        self.partly, self.rare = corpus.partly, {}  # by hash, the rarer words and pairs that this document may ask for
         self.cache: dict[str, float] = {}
         self.found: dict[tuple[str, bool], list[tuple[str, float]]] = {}
         self.doubts: dict[str, bool] = {}
         self.fine: set[str] = set()  # what stands between blanks and has no doubtful word
+        self.choices: dict[str, tuple[list[str], list[int]]] = {}
+        self.plain: set[str] = set()  # what stands between blanks, and each word of it was sent and can't be misread
         self.scale = max(1.0, corpus.total / CORPUS)
         self.known, self.usual = KNOWN * self.scale, USUAL * self.scale
-        self.floor = floor_of(corpus.total)  # once in a small corpus
         self.rates = {f: corpus.rates.get(f, RATE) for f in {*CONFUSIONS, *CAPITALS}}
 
     @staticmethod
@@ -145,11 +149,19 @@ class Counts:
         if n is None:
             if len(self.cache) > 1_000_000:
                 self.cache.clear()
-            n = self.cache[w] = self._get(self.words, xxhash.xxh3_64_intdigest(w, 1), 0xFFFFFFFF)
+            h = xxhash.xxh3_64_intdigest(w, 1)
+            n = self._get(self.words, h, 0xFFFFFFFF)
+            if not n and self.partly:  # not kept: another document may not have asked for it
+                return self.rare.get(h, 0)
+            self.cache[w] = n
         return n
 
     def pair(self, a: str, b: str) -> float:
-        return 2 ** (self._get(self.pairs, xxhash.xxh3_64_intdigest(f"{a}\0{b}", 3), 0xFFFF) / STEPS) - 1
+        h = xxhash.xxh3_64_intdigest(f"{a}\0{b}", 3)
+        steps = self._get(self.pairs, h, 0xFFFF)
+        if not steps and h in self.rare:
+            steps = round(math.log2(self.rare[h] + 1) * STEPS)
+        return 2 ** (steps / STEPS) - 1
 
 
 def lines_table(bodies: DataFrame, ocr: DataFrame) -> DataFrame:
@@ -181,9 +193,9 @@ def _rows(batch: pa.RecordBatch, step: int = 500) -> Iterator[tuple[str, str, li
             at += n
 
 
-def floor_of(total: float) -> float:
-    """The count below which words and pairs of a corpus of ``total`` words read as not seen."""
-    return max(1.0, total / RESOLUTION)
+def floor_of(total: float, most: int | None = None) -> float:
+    """The count of which a corpus of ``total`` words can have ``most`` words and pairs at most, whatever they are."""
+    return max(1.0, total / (most or RESOLUTION))
 
 
 def counted(lines: DataFrame) -> DataFrame:
@@ -219,7 +231,7 @@ def counted(lines: DataFrame) -> DataFrame:
     return sent.groupBy("w", "h").agg(F.sum("n").alias("n"))
 
 
-def confusion_rates(words: DataFrame, floor: float) -> dict[tuple[str, str], float]:
+def confusion_rates(words: DataFrame, floor: float = 1.0) -> dict[tuple[str, str], float]:
     """The probability of each confusion: how often distinct words stand that differ from a far more frequent one by just it, against how often it could have happened. The mean over all
     confusions (by how often they happen) is set to RATE, and none may be further from it than by SPREAD.
 
@@ -249,17 +261,122 @@ def confusion_rates(words: DataFrame, floor: float) -> dict[tuple[str, str], flo
 
 
 def corpus_counts(lines: DataFrame) -> Corpus:
-    """The corpus counts; words and pairs below ``floor_of`` the corpus stay behind, so that what comes to the driver is bounded by RESOLUTION."""
+    """The corpus counts that are sent to the tasks: SENT words and pairs at most, the most frequent ones."""
+    return sent_and_rare(lines)[0]
+
+
+def sent_and_rare(lines: DataFrame) -> tuple[Corpus, DataFrame | None]:
+    """The corpus counts that are sent to the tasks, and the others as (h, n); None if there are none."""
     n = materialize(counted(lines), "counts")
-    words = n.filter("w is not null")
+    words, pairs = n.filter("w is not null"), n.filter("w is null")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    floor = floor_of(total)
-
-    def table(rows: DataFrame, pair: bool) -> tuple:
-        t = rows.filter(F.col("n") >= floor).select("h", "n").toArrow()
+    top = math.ceil(floor_of(total, SENT))
+
+    def least(rows: DataFrame) -> int:
+        """The count from which there are SENT rows at most. What comes to the driver is a row per count up to ``top``."""
+        number, f = 0, top
+        for r in sorted(rows.groupBy(F.least("n", F.lit(top)).alias("n")).agg(F.count(F.lit(1)).alias("rows")).collect(), key=lambda r: -r.n):
+            number += r.rows
+            if number > SENT:
+                return f
+            f = r.n
+        return 1
+
+    def table(rows: DataFrame, f: int, pair: bool) -> tuple:
+        t = rows.filter(F.col("n") >= f).select("h", "n").toArrow()
         return pack(t.column("h").to_numpy().view(np.uint64), t.column("n").to_numpy(), pair)
 
-    return Corpus(table(words, False), table(n.filter("w is null"), True), total, confusion_rates(words.select("w", "n"), floor))
+    f, g = least(words), least(pairs)
+    corpus = Corpus(table(words, f, False), table(pairs, g, True), total, confusion_rates(words.select("w", "n")), max(f, g) > 1)
+    return corpus, n.filter(F.col("n") < F.when(F.col("w").isNull(), g).otherwise(f)).select("h", "n") if corpus.partly else None
+
+
+def asked(page: list[int], text: list[str], counts: Counts) -> set[int]:
+    """The hashes of all words and pairs not sent to the tasks that ``repair`` may ask for in a document.
+
+    A word that was sent is more frequent than any that wasn't, so of its candidates only those sent count; of another word all.
+    """
+    out: set[int] = set()
+
+    def known(w: str) -> float:
+        n = counts.word(w)
+        if not n:
+            out.add(xxhash.xxh3_64_intdigest(w, 1))
+        return n
+
+    def halves(a: str, b: str) -> None:
+        for w in (a, b, a + b, f"{a}-{b}"):
+            known(w)
+
+    heads, numbers, _, _ = _edges(page, text)
+    body = [k for k in range(len(text)) if k not in heads and k not in numbers]
+    for i, k in enumerate(body):
+        t = text[k]
+        if "-" in t or not t.isascii() and _ANY_MARK.search(t):
+            for m in _INSIDE.finditer(t):
+                a = m.start()
+                while a and t[a - 1].isalpha():
+                    a -= 1
+                halves(t[a : m.start()].lower(), m[2].lower())
+            if end := _END.search(t):
+                for j in body[i + 1 : i + 9]:
+                    if x := _START.match(text[j]):
+                        halves(end[1].lower(), x[1].lower())
+        parts = t.split()
+        if counts.plain.issuperset(parts):
+            continue
+        before: list[str] = []
+        for raw in _TOKEN.findall(t):
+            options, missing = _choices(raw, counts)
+            out.update(missing)
+            if len(options) > 1 or len(before) > 1:
+                out.update(xxhash.xxh3_64_intdigest(f"{a}\0{c}", 3) for a in before for c in options if not counts.pair(a, c))
+            before = options
+        if len(counts.plain) > 1_000_000:
+            counts.plain.clear()
+        counts.plain.update(x for x in parts if x not in counts.plain and all(len(o) == 1 and not m for o, m in (_choices(r, counts) for r in _TOKEN.findall(x))))
+    return out
+
+
+def _choices(raw: str, counts: Counts) -> tuple[list[str], list[int]]:
+    """A word and all that it may be a misreading of, and the hashes of those that weren't sent; each worker keeps what it has found."""
+    kept = counts.choices.get(raw)
+    if kept is None:
+        w = raw.lower()
+        own, upper, options = counts.word(w), _capitals(raw), [w]
+        if _doubtful(raw, w):
+            options += [c for c, _ in (candidates(w, upper, counts) if own else undone(w, upper))]
+        if _odd_shape(raw):
+            options += [c for c, _ in shape_candidates(w, upper, counts)]
+        if len(counts.choices) > 500_000:
+            counts.choices.clear()
+        kept = counts.choices[raw] = options, [xxhash.xxh3_64_intdigest(c, 1) for c in options if not counts.word(c)]
+    return kept
+
+
+def with_rare(lines: DataFrame, rare: DataFrame, sent, keep) -> DataFrame:
+    """``lines`` with (rh, rn): the hashes and counts of the rarer words and pairs that the document may ask for, of documents that ``keep`` (origin, texts)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts(sent.value)
+        for batch in batches:
+            for origin, doc, page, _, text in _rows(batch):
+                if keep(origin, text) and (h := asked(page, text, counts)):
+                    yield pa.RecordBatch.from_arrays([pa.array([origin] * len(h)), pa.array([doc] * len(h)), pa.array(np.fromiter(h, np.uint64, len(h)).view(np.int64))], names=["origin", "doc_id", "h"])
+
+    got = lines.select("origin", "doc_id", "l").mapInArrow(run, "origin string, doc_id string, h long").join(rare.hint("merge"), "h")
+    got = got.groupBy("origin", "doc_id").agg(F.collect_list(F.struct("h", "n")).alias("r")).select("origin", "doc_id", F.col("r.h").alias("rh"), F.col("r.n").alias("rn"))
+    return lines.join(got.hint("merge"), ["origin", "doc_id"], "left").select("origin", "doc_id", "l", "rh", "rn")
+
+
+def undone(w: str, upper: bool) -> Iterator[tuple[str, tuple[str, str]]]:
+    """Each word of which ``w`` (lower case) is a misreading by one confusion, and that confusion."""
+    for way in CAPITALS if upper else CONFUSIONS:
+        meant, seen = way
+        k = w.find(seen)
+        while k >= 0:
+            yield w[:k] + meant + w[k + len(seen) :], way
+            k = w.find(seen, k + 1)
 
 
 def candidates(w: str, upper: bool, counts: Counts) -> list[tuple[str, float]]:
@@ -267,16 +384,11 @@ def candidates(w: str, upper: bool, counts: Counts) -> list[tuple[str, float]]:
     kept = counts.found.get((w, upper))
     if kept is not None:
         return kept
-    own = max(counts.word(w), counts.floor)
+    own = max(counts.word(w), 1.0)
     out: dict[str, float] = {}
-    for way in CAPITALS if upper else CONFUSIONS:
-        meant, seen = way
-        k = w.find(seen)
-        while k >= 0:
-            c = w[:k] + meant + w[k + len(seen) :]
-            if counts.word(c) * counts.rates[way] > own:
-                out[c] = max(out.get(c, 0.0), counts.rates[way])
-            k = w.find(seen, k + 1)
+    for c, way in undone(w, upper):
+        if counts.word(c) * counts.rates[way] > own:
+            out[c] = max(out.get(c, 0.0), counts.rates[way])
     if len(counts.found) > 500_000:
         counts.found.clear()
     kept = counts.found[w, upper] = sorted(out.items())
@@ -341,7 +453,7 @@ def decode(raws: list[str], low: list[str], doubt: list[int], counts: Counts) ->
         found = candidates(low[k], _capitals(r), counts) if _doubtful(r, low[k]) else []
         if odd:
             found = found or shape_candidates(low[k], _capitals(r), counts)
-            options[k] = [(low[k], math.log(ODD))] if found else options[k]
+            options[k] = [(low[k], math.log(ODD / counts.scale))] if found else options[k]
         any_ |= bool(found)
         options[k] += [(c, math.log(rate)) for c, rate in found]
     if not any_:
@@ -351,7 +463,7 @@ def decode(raws: list[str], low: list[str], doubt: list[int], counts: Counts) ->
     for k, own in enumerate(options):
         now, back = [], []
         for c, channel in own:
-            n = counts.word(c) + 0.1 * counts.floor
+            n = counts.word(c) + 0.1
             if k == 0:
                 score, at = math.log(n), 0
             else:
@@ -387,24 +499,19 @@ def broken(a: str, mark: str, gap: bool, b: str, counts: Counts) -> bool:
     """Whether a mark between two word parts breaks a word, rather than belonging to it."""
     a, b = a.lower(), b.lower()
     joined, kept = counts.word(a + b), counts.word(f"{a}-{b}")
-    if joined >= 2 * counts.floor and joined > kept:
+    if joined >= 2 and joined > kept:
         return True
-    if kept >= 3 * counts.floor and kept >= joined:
+    if kept >= 3 and kept >= joined:
         return False
     if mark in "-‑" and (b in _JOINERS or counts.word(a) >= counts.usual and counts.word(b) >= counts.usual):
         return False
     if mark == "-" and not gap:
-        return counts.word(a) < counts.known and counts.word(b) < counts.known and len(a) + len(b) >= 5 and len(a) > 1 and kept <= counts.floor
+        return counts.word(a) < counts.known and counts.word(b) < counts.known and len(a) + len(b) >= 5 and len(a) > 1 and kept <= 1
     return len(a) + len(b) >= 4
 
 
-def faults(page: list[int], pos: list[int], text: list[str], counts: Counts) -> tuple[list[tuple[int, str]], dict[int, str]]:
-    """(line, fault) of one document, and the repaired text of each line that is text (headers and page numbers left out)."""
-    return repair(page, pos, text, counts)[:2]
-
-
-def repair(page: list[int], pos: list[int], text: list[str], counts: Counts) -> tuple[list[tuple[int, str]], dict[int, str], set[int]]:
-    """As ``faults``, and the lines that begin with the rest of a word broken before them (it now stands there)."""
+def _edges(page: list[int], text: list[str]) -> tuple[set[int], set[int], dict[int, str], int]:
+    """The lines of a document that are running headers, those that are page numbers, the header keys of lines at the edges of pages, and the number of lines."""
     n = len(text)
     edge: set[int] = set()
     outer: set[int] = set()
@@ -412,7 +519,6 @@ def repair(page: list[int], pos: list[int], text: list[str], counts: Counts) ->
     for a, b in zip(starts, starts[1:]):
         edge.update(range(a, min(a + 2, b)), range(max(a, b - 2), b))
         outer.update((a, b - 1))
-    found: list[tuple[int, str]] = []
     numbers = {k for k in edge if is_page_number(text[k])}
     alone = {k for k in numbers if k in outer or k - 1 in numbers or k + 1 in numbers}
     keys = {k: header_key(text[k]) for k in edge if k not in numbers}
@@ -422,6 +528,18 @@ def repair(page: list[int], pos: list[int], text: list[str], counts: Counts) ->
             pages.setdefault(key, set()).add(page[k])
     heads = {k for k, key in keys.items() if len(pages.get(key, ())) >= 3}
     numbers = {k for k in numbers if k in alone or any(j in heads for j in (k - 1, k + 1))}
+    return heads, numbers, keys, n
+
+
+def faults(page: list[int], pos: list[int], text: list[str], counts: Counts) -> tuple[list[tuple[int, str]], dict[int, str]]:
+    """(line, fault) of one document, and the repaired text of each line that is text (headers and page numbers left out)."""
+    return repair(page, pos, text, counts)[:2]
+
+
+def repair(page: list[int], pos: list[int], text: list[str], counts: Counts) -> tuple[list[tuple[int, str]], dict[int, str], set[int]]:
+    """As ``faults``, and the lines that begin with the rest of a word broken before them (it now stands there)."""
+    heads, numbers, keys, n = _edges(page, text)
+    found: list[tuple[int, str]] = []
     forms: dict[str, Counter] = {}
     for k in heads:
         forms.setdefault(keys[k], Counter())["".join(c for c in text[k].lower() if c.isalpha() or c in "@")] += 1
@@ -456,9 +574,9 @@ def repair(page: list[int], pos: list[int], text: list[str], counts: Counts) ->
         if end and len(end[1]) > 1:
             options = [(j, x[1]) for j in body[i + 1 : i + 9] if (x := _START.match(text[j]))]
             half = end[1].lower()
-            nxt = next((o for o in options if counts.word(half + o[1].lower()) >= 2 * counts.floor), None)
+            nxt = next((o for o in options if counts.word(half + o[1].lower()) >= 2), None)
             if nxt is None and options:
-                nxt = next((o for o in options if o[1][0].isupper() == half.isupper() or counts.word(f"{half}-{o[1].lower()}") >= 3 * counts.floor), options[0])
+                nxt = next((o for o in options if o[1][0].isupper() == half.isupper() or counts.word(f"{half}-{o[1].lower()}") >= 3), options[0])
             if nxt is not None and broken(end[1], end[2], True, nxt[1], counts):
                 tail, rest = nxt
                 joined.append(end.span())
@@ -501,7 +619,11 @@ def repair(page: list[int], pos: list[int], text: list[str], counts: Counts) ->
 def _scan(spark: SparkSession, sf_dir: str, least: float, make, schema: str) -> DataFrame:
     lines = materialize(lines_table(current_bodies(spark, sf_dir), table(spark, sf_dir, "ocr_lines")), "lines")
     common = {r.word.lower() for r in bounded_rows(table(spark, sf_dir, "common_words").filter("word is not null").select("word").distinct(), COMMON_WORDS)}
-    sent = spark.sparkContext.broadcast(corpus_counts(lines))
+    corpus, rare = sent_and_rare(lines)
+    sent = spark.sparkContext.broadcast(corpus)
+    keep = lambda origin, text: origin != "doc_bodies" or mostly_running(text, common, least)
+    if rare is not None:
+        lines = with_rare(lines, rare, sent, keep)
     collect_garbage(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -509,9 +631,12 @@ def _scan(spark: SparkSession, sf_dir: str, least: float, make, schema: str) ->
         fields = pa.schema([(n, {"string": pa.string(), "int": pa.int32()}[k]) for n, k in (f.split() for f in schema.split(", "))])
         for batch in batches:
             out: list[tuple] = []
-            for origin, doc, page, pos, text in _rows(batch):
-                if origin == "doc_bodies" and not mostly_running(text, common, least):
+            hashes, numbers = (batch.column(c) for c in ("rh", "rn")) if counts.partly else ((), ())
+            for k, (origin, doc, page, pos, text) in enumerate(_rows(batch)):
+                if not keep(origin, text):
                     continue
+                if counts.partly:
+                    counts.rare = {h & 0xFFFFFFFFFFFFFFFF: n for h, n in zip(hashes[k].as_py() or (), numbers[k].as_py() or ())}
                 out += make(origin, doc, page, pos, text, counts)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), fields)], schema=fields)

@@ -353,6 +353,25 @@ def test_p6_bounded_by_resolution(monkeypatch):
     assert 0 < len(p6.Counts(c).words[2]) <= 1000 and p6.Counts(c).word("often") == 10**4
 
 
+@pytest.mark.parametrize("query", [p6.p6_found, p6.p6_paragraphs])
+def test_p6_rare_words_count_at_any_size(spark, monkeypatch, query):
+    """However few words and pairs are sent to the tasks, the result is the same: each document gets the counts of the others that it asks for."""
+    whole = rows(query(spark, "/root/testdata/sf0.001"))
+    monkeypatch.setattr(p6, "RESOLUTION", 300)
+    monkeypatch.setattr(p6, "SENT", 300, raising=False)
+    assert whole and rows(query(spark, "/root/testdata/sf0.001")) == whole
+
+
+def test_p6_rare_words_in_a_large_corpus():
+    """What a word seen sixty times and its misprint seen once say doesn't depend on how much else the corpus holds."""
+    line = "the bcaring and the cali-brator"
+    for rest in (10**3, 10**6, 10**9, 10**12):
+        counts = p6.Counts(_corpus({"the": rest, "and": rest}, {}))
+        counts.partly, counts.rare = True, {int(h): n for w, n in (("bearing", 60), ("bcaring", 1), ("calibrator", 2), ("cali-brator", 1), ("over-load", 3), ("overload", 1)) for h in p6._hashes([w], 1)} | {int(p6._hashes(["the\0bearing"], 3)[0]): 60}
+        found, fixed = p6.faults([1, 1], [0, 1], [line, "over-load"], counts)
+        assert fixed == {0: "the bearing and the calibrator", 1: "over-load"} and found == [(0, "hyphen"), (0, "misread")], rest
+
+
 def test_p6_confusion_rates(spark):
     """A confusion that happens more often than others is the more probable, within SPREAD of the mean."""
     words = {"meter": 10_000, "mcter": 150, "motor": 10_000, "mofor": 2, "m0tor": 1, "relay": 10_000, "rclay": 160, "rare": 3, "rarc": 1}
