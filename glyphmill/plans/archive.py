@@ -307,21 +307,22 @@ _WANTED = f"{_PADS}, wa AS (SELECT DISTINCT 'N' || l_orderkey AS net, CASE WHEN
 _STATE = "st AS (SELECT net, wa.ref, wa.pin, CASE WHEN h.ref IS NOT NULL THEN 'connected' WHEN r.ref IS NOT NULL THEN 'no pad' ELSE 'no footprint' END AS state FROM wa LEFT JOIN pad h ON h.ref = wa.ref AND h.pin = wa.pin LEFT JOIN pv r ON r.ref = wa.ref)"
 
 
-def _wired(spark: SparkSession, d: str) -> DataFrame:
+def _wanted(spark: SparkSession, d: str) -> DataFrame:
+    """(net, ref, pin) of every order line; lines that repeat one another aren't merged yet."""
     l = table(spark, d, "lineitem")
     ref = F.concat(F.when(F.col("l_partkey") % 5 == 0, "C").otherwise("U"), (F.col("l_partkey") + F.col("l_linenumber")).cast("string"))
-    wanted = l.select(F.concat(F.lit("N"), F.col("l_orderkey").cast("string")).alias("net"), ref.alias("ref"), (F.col("l_linenumber") * 3).cast("string").alias("pin")).distinct()
-    return circuit.connect_signals(wanted, pads(spark, d))
+    return l.select(F.concat(F.lit("N"), F.col("l_orderkey").cast("string")).alias("net"), ref.alias("ref"), (F.col("l_linenumber") * 3).cast("string").alias("pin"))
 
 
 @query(f"WITH {_WANTED}, {_STATE} SELECT * FROM st")
 def signal_nets(spark, d):
-    return _wired(spark, d)
+    return circuit.connect_signals(_wanted(spark, d).distinct(), pads(spark, d))
 
 
 @query(f"WITH {_WANTED}, {_STATE} SELECT net, count(*) AS pads, count(DISTINCT ref) AS parts FROM st WHERE state = 'connected' GROUP BY net")
 def pad_tally(spark, d):
-    return circuit.pad_tally(_wired(spark, d).filter("state = 'connected'"))
+    wired = circuit.connect_signals(_wanted(spark, d), pads(spark, d)).filter("state = 'connected'")
+    return circuit.pad_tally(wired.distinct())  # merged where they met their footprint, which needs no shuffle of its own
 
 
 _LIBRARY = f"""{_DEV}, {_GATES}, nm(part, symbol) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in K.LIBRARY_NAMES.items())}),

@@ -374,6 +374,20 @@ def test_signal_nets_have_no_broadcast(spark, name):
     assert "Broadcast" not in registry.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_pad_tally_moves_connections_once(spark, tmp_path):
+    """Repeated lines are merged where they met their footprint: besides the footprints' and the tally's own, one shuffle; each pad counts once."""
+    lines, parts = spark.read.parquet(f"{DATA}/lineitem.parquet"), spark.read.parquet(f"{DATA}/part.parquet")
+    odd = lines.limit(40).withColumn("l_partkey", F.when(F.col("l_orderkey") % 2 == 0, -F.col("l_partkey"))).unionByName(lines.limit(40).withColumn("l_linenumber", F.lit(None).cast("int")))
+    lines.unionByName(odd).unionByName(lines).write.parquet(str(tmp_path / "lineitem.parquet"))
+    parts.unionByName(parts.limit(2).withColumn("p_partkey", F.lit(None).cast("bigint"))).write.parquet(str(tmp_path / "part.parquet"))
+    got = registry.queries()["pad_tally"](spark, str(tmp_path))
+    con = duckdb.connect()
+    for t in ("lineitem", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert rows(got.select("net", "pads", "parts")) == sorted(con.execute(f"SELECT net, pads, parts FROM ({registry.oracle_sql()['pad_tally']})").fetchall(), key=repr)
+    assert registry.queries()["pad_tally"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 3
+
+
 def _sheet():
     """A drawing: two solid bodies joined by a bent wire, a crossing, and a round dot."""
     ink = np.zeros((420, 640), bool)
